@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -53,17 +54,29 @@ def fold_text(column: Column) -> Column:
     source, target, several = _folding_rules()
     lowered = F.lower(column)
     folded = F.translate(lowered, source, target)
-    wide = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
-    spelled_out = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), ""
+    spelling = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
+    present = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({_near(several)})"), F.lit(0)))
+    spelled_out = F.aggregate(
+        present, folded, lambda text, char: F.replace(text, char, F.coalesce(F.try_element_at(spelling, char), char))
     )
     return (
         F.when(~column.rlike(r"[^\x00-\x7F]"), lowered)
-        .when(~lowered.rlike("[" + "".join(several) + "]"), folded)
+        .when(~lowered.rlike(_near(several)), folded)
         .otherwise(spelled_out)
     )
 
 
+def _near(chars: Iterable[str]) -> str:
+    """Character class of few ranges around ``chars``; gaps of up to 8 are filled."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code - runs[-1][1] <= 8:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"{chr(first)}-{chr(last)}" for first, last in runs) + "]"
+
+
 def contains_any(column: Column, words: list[str] | tuple[str, ...]) -> Column:
     """True when one of the words occurs anywhere, also inside another word.
 

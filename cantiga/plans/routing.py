@@ -192,12 +192,11 @@ def route_questions(
 def routing_mix(routed: DataFrame) -> DataFrame:
     """How many questions ask for each key of each source, and how many go to the source at all."""
     kinds = {"source": F.array("rota_source"), "metric": F.col("rota_metrics"), "dimension": F.col("rota_dimensions")}
-    asked = F.concat(
-        *[
-            F.transform(keys, lambda key, kind=kind: F.struct(F.lit(kind).alias("tipo"), key.alias("chave")))
-            for kind, keys in kinds.items()
-        ]
-    )
+
+    def marked(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda key: F.struct(F.lit(kind).alias("tipo"), key.alias("chave")))
+
+    asked = F.concat(*[marked(kind, keys) for kind, keys in kinds.items()])
     return (
         routed.select(F.col("rota_source").alias("fonte"), F.explode(asked).alias("item"))
         .groupBy("fonte", "item.tipo", "item.chave")

@@ -300,7 +300,7 @@ def routing_ctes(questions: str, as_of: str) -> str:
 QUESTION_LOG = f"""
     SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'universal_detail'
                                   WHEN o_orderkey % 13 = 0 THEN 'does_not_exist' END AS g,
-           replace(replace(replace({_list(TEMPLATES)}[CAST(o_orderkey % {len(TEMPLATES)} AS INTEGER) + 1],
+           replace(replace(replace(({_list(TEMPLATES)})[CAST(o_orderkey % {len(TEMPLATES)} AS INTEGER) + 1],
              '<n>', CAST(o_orderkey % 40 AS VARCHAR)), '<dia>', strftime(o_orderdate, '%Y-%m-%d')),
              '<fim>', strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d')) AS t
     FROM orders"""
