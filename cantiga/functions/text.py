@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -54,7 +54,7 @@ def fold_text(column: Column) -> Column:
     source, target, several = _folding_rules()
     lowered = F.lower(column)
     folded = F.translate(lowered, source, target)
-    spelling = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
+    spelling = F.map_from_arrays(word_list(several), word_list(several.values()))
     present = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({_near(several)})"), F.lit(0)))
     spelled_out = F.aggregate(
         present, folded, lambda text, char: F.replace(text, char, F.coalesce(F.try_element_at(spelling, char), char))
@@ -77,6 +77,20 @@ def _near(chars: Iterable[str]) -> str:
     return "[" + "".join(f"{chr(first)}-{chr(last)}" for first, last in runs) + "]"
 
 
+def word_list(words: Iterable[str]) -> Column:
+    """Constant array of non-empty words."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` reads it.
+
+    Without this, a column read inside a function over array elements may be
+    merged into that function and computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: use(bound)), 0)
+
+
 def contains_any(column: Column, words: list[str] | tuple[str, ...]) -> Column:
     """True when one of the words occurs anywhere, also inside another word.
 

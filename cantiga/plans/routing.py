@@ -2,78 +2,127 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable
 from datetime import date
-from functools import reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantiga import vocabulary as V
 from cantiga.catalog import SOURCES
-from cantiga.functions.text import contains_any, fold, fold_text
+from cantiga.functions.text import fold, fold_text, let, word_list
 
 _TEXTS = "array<string>"
 _PAIRS = "map<string,string>"
 
+_TRACK = "track level"
 
-def _ascii_only(words: list[str]) -> list[str]:
-    """Words that can occur in folded text; an accented one cannot."""
-    return [word for word in words if fold(word) == word]
 
+def _metric(key: str) -> str:
+    return f"metric {key}"
 
-def _tags(folded: Column, words: Mapping[str, list[str]]) -> Column:
-    """Keys with a word in the text, in the order of ``words``."""
-    return F.array_compact(
-        F.array(*[F.when(contains_any(folded, _ascii_only(w)), F.lit(key)) for key, w in words.items()])
-    )
 
+def _dimension(key: str) -> str:
+    return f"dimension {key}"
 
-def _per_source(values: Mapping[str, list[str]], source: Column) -> Column:
-    pairs = [part for name, keys in values.items() for part in (F.lit(name), F.array(*[F.lit(k) for k in keys]))]
-    return F.element_at(F.create_map(*pairs), source)
 
+def _filter(field: str, value: str) -> str:
+    return f"filter {field} {value}"
 
-def _kept(asked: Column, allowed: Column, fallback: Column) -> Column:
-    kept = F.filter(asked, lambda key: F.array_contains(allowed, key))
-    return F.when(F.size(kept) > 0, kept).otherwise(fallback)
 
+def _source(name: str) -> str:
+    return f"source {name}"
 
-def _given_or(given: Column, inferred: Column) -> Column:
-    return F.when(F.size(given) > 0, given).otherwise(inferred)
 
+def _platform(name: str) -> str:
+    return f"platform {name}"
+
+
+def _days(rule: int) -> str:
+    return f"days {rule}"
+
+
+@lru_cache(maxsize=1)
+def _tags_of_words() -> dict[str, list[str]]:
+    """What each word says about a question.
+
+    Filter and platform words are folded.  Metric and dimension words are taken
+    as written, so an accented one can never occur in folded text; those are
+    left out here.
+    """
+    said: dict[str, list[str]] = {}
+
+    def say(tag: str, words: Iterable[str], as_written: bool = True) -> None:
+        for word in words:
+            known = word if as_written else fold(word)
+            if fold(known) == known and tag not in said.setdefault(known, []):
+                said[known].append(tag)
+
+    for key, words in V.METRIC_WORDS.items():
+        say(_metric(key), words)
+    for key, words in V.DIMENSION_WORDS.items():
+        say(_dimension(key), words)
+    for field, values in V.FILTER_WORDS.items():
+        for value, words in values.items():
+            say(_filter(field, value), words, as_written=False)
+    for name, words in V.SOURCE_WORDS.items():
+        say(_source(name), words)
+    for name, words in V.PLATFORM_WORDS.items():
+        say(_platform(name), words, as_written=False)
+    say(_TRACK, V.TRACK_WORDS)
+    for rule, (words, _, _) in enumerate(V.RELATIVE_DAYS):
+        say(_days(rule), words)
+    return said
 
-def infer_source(folded: Column) -> Column:
-    """Source named by a word; null when none is."""
-    by_itself = [F.when(contains_any(folded, words), F.lit(name)) for name, words in V.SOURCE_WORDS.items()]
-    track = contains_any(folded, V.TRACK_WORDS)
-    with_track = [
-        F.when(track & contains_any(folded, [fold(w) for w in words]), F.lit(name))
-        for name, words in V.PLATFORM_WORDS.items()
-    ]
-    return F.coalesce(*by_itself, *with_track)
 
+def _texts(values: Iterable[str]) -> Column:
+    return word_list(values)
 
-def infer_metrics(folded: Column) -> Column:
-    return _given_or(_tags(folded, V.METRIC_WORDS), F.array(*[F.lit(m) for m in V.DEFAULT_METRICS]))
 
+def question_tags(folded: Column) -> Column:
+    """Everything the words found in the text say, as an array.
 
-def infer_dimensions(folded: Column) -> Column:
-    return _given_or(_tags(folded, V.DIMENSION_WORDS), F.array(*[F.lit(d) for d in V.DEFAULT_DIMENSIONS]))
+    A word counts wherever it occurs, also inside another word.
+    """
+    said = _tags_of_words()
+    words = word_list(said)
+    meaning = F.map_from_arrays(words, F.array(*[word_list(tags) for tags in said.values()]))
+    found = let(folded, lambda text: F.filter(words, lambda word: F.contains(text, word)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda word: F.element_at(meaning, word))))
+
+
+def _has(tags: Column, tag: str) -> Column:
+    return F.array_contains(tags, tag)
+
+
+def _named(tags: Column, keys: Iterable[str], tag_of) -> Column:
+    """The keys whose tag is there, in their own order."""
+    prefix = tag_of("")
+    return let(
+        tags, lambda known: F.filter(_texts(keys), lambda key: F.array_contains(known, F.concat(F.lit(prefix), key)))
+    )
+
+
+def infer_source(tags: Column) -> Column:
+    """Source named by a word; null when none is."""
+    by_itself = [F.when(_has(tags, _source(name)), F.lit(name)) for name in V.SOURCE_WORDS]
+    with_track = [
+        F.when(_has(tags, _TRACK) & _has(tags, _platform(name)), F.lit(name)) for name in V.PLATFORM_WORDS
+    ]
+    return F.coalesce(*by_itself, *with_track)
 
 
-def infer_filters(folded: Column) -> Column:
+def infer_filters(tags: Column) -> Column:
     """Map of field to the first value with a word in the text."""
-    found = []
+    pairs = []
     for field, values in V.FILTER_WORDS.items():
-        value = F.coalesce(
-            *[F.when(contains_any(folded, [fold(w) for w in words]), F.lit(v)) for v, words in values.items()]
-        )
-        found.append(F.struct(F.lit(field).alias("key"), value.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*found), lambda pair: pair["value"].isNotNull()))
+        value = F.coalesce(*[F.when(_has(tags, _filter(field, v)), F.lit(v)) for v in values])
+        pairs.append(F.struct(F.lit(field).alias("key"), value.alias("value")))
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda pair: pair["value"].isNotNull()))
 
 
-def infer_dates(question: Column, folded: Column, today: Column) -> Column:
+def infer_dates(question: Column, folded: Column, tags: Column, today: Column) -> Column:
     """Struct of ISO ``start_date`` and ``end_date``; null when the text names no range.
 
     Days in the text are taken from the unfolded question and are not checked.
@@ -86,20 +135,32 @@ def infer_dates(question: Column, folded: Column, today: Column) -> Column:
         return F.date_format(F.date_sub(today, days), "yyyy-MM-dd")
 
     found = F.regexp_extract_all(question, F.lit(f"(?U)({V.ISO_DAY})"), F.lit(1))
-    rules = [
-        F.when(F.size(found) >= 2, span(F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(2)))),
-        F.when(F.size(found) == 1, span(F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(1)))),
-    ]
+    first, second = F.get(found, 0), F.get(found, 1)
+    rules = [F.when(first.isNotNull(), span(first, F.coalesce(second, first)))]
     digits = F.regexp_extract(folded, f"(?U){V.LAST_DAYS}", 2)
     days = F.greatest(digits.try_cast("int") - 1, F.lit(0))
     # A count that reaches before year 1, or that is no integer, leaves the start open.
     start = F.when(days <= F.datediff(today, F.lit("0001-01-01").cast("date")), back(days))
     rules.append(F.when(digits != "", span(start, back(0))))
-    for words, first, last in V.RELATIVE_DAYS:
-        rules.append(F.when(contains_any(folded, words), span(back(first), back(last))))
+    for rule, (_, first_back, last_back) in enumerate(V.RELATIVE_DAYS):
+        rules.append(F.when(_has(tags, _days(rule)), span(back(first_back), back(last_back))))
     return F.coalesce(*rules)
 
 
+def _first_filled(*arrays: Column) -> Column:
+    """The first array that has an element, else the last one."""
+    return F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays[:-1]], arrays[-1])
+
+
+def _per_source(values: dict[str, list[str]], source: Column) -> Column:
+    pairs = [part for name, keys in values.items() for part in (F.lit(name), _texts(keys))]
+    return F.element_at(F.create_map(*pairs), source)
+
+
+def _both(left: Column, right: Column) -> Column:
+    return let(right, lambda allowed: F.filter(left, lambda key: F.array_contains(allowed, key)))
+
+
 def route_questions(
     frame: DataFrame,
     text: str,
@@ -129,40 +190,44 @@ def route_questions(
     given_start, given_end = stated(start_date, "string"), stated(end_date, "string")
     given_filters = F.coalesce(stated(filters, _PAIRS), F.create_map().cast(_PAIRS))
 
-    folded = frame.withColumn("__folded", fold_text(question))
-    text_column = F.col("__folded")
-    names = F.array(*[F.lit(name) for name in SOURCES])
-    wanted = F.coalesce(given_source, infer_source(text_column), F.lit(V.DEFAULT_SOURCE))
-    routed = folded.withColumn(
-        "rota_source", F.when(F.array_contains(names, wanted), wanted).otherwise(F.lit(V.DEFAULT_SOURCE))
+    # Each step is a projection of its own, so that what several columns read is computed once.
+    folded, tags, chosen, own = F.col("__folded"), F.col("__tags"), F.col("rota_source"), F.col("__own")
+    routed = frame.withColumn("__folded", fold_text(question)).withColumn("__tags", question_tags(folded))
+
+    wanted = F.coalesce(given_source, infer_source(tags), F.lit(V.DEFAULT_SOURCE))
+    inferred_dates = infer_dates(question, folded, tags, today)
+    given_dates = F.struct(given_start.alias("start_date"), given_end.alias("end_date"))
+    routed = routed.withColumns(
+        {
+            "__wanted": wanted,
+            "__metrics": _first_filled(
+                given_metrics, _named(tags, V.METRIC_WORDS, _metric), _texts(V.DEFAULT_METRICS)
+            ),
+            "__dimensions": _first_filled(
+                given_dimensions, _named(tags, V.DIMENSION_WORDS, _dimension), _texts(V.DEFAULT_DIMENSIONS)
+            ),
+            "__filters": F.map_zip_with(
+                infer_filters(tags), given_filters, lambda _, inferred, given: F.coalesce(given, inferred)
+            ),
+            "__dates": F.when(given_start.isNotNull() | given_end.isNotNull(), given_dates).otherwise(inferred_dates),
+        }
+    )
+    routed = routed.withColumn(
+        "rota_source",
+        F.when(F.col("__wanted").isin(*SOURCES), F.col("__wanted")).otherwise(F.lit(V.DEFAULT_SOURCE)),
     )
 
-    chosen = F.col("rota_source")
     source_metrics = {name: list(s.metrics) for name, s in SOURCES.items()}
     source_dimensions = {name: list(s.dimensions) for name, s in SOURCES.items()}
-    own_dimensions = _per_source(source_dimensions, chosen)
-    inferred_dates = infer_dates(question, text_column, today)
-    has_given_dates = given_start.isNotNull() | given_end.isNotNull()
-    dates = F.when(
-        has_given_dates, F.struct(given_start.alias("start_date"), given_end.alias("end_date"))
-    ).otherwise(inferred_dates)
-    merged = F.map_zip_with(
-        infer_filters(text_column), given_filters, lambda _, inferred, given: F.coalesce(given, inferred)
-    )
     routed = routed.withColumns(
         {
-            "rota_metrics": _kept(
-                _given_or(given_metrics, infer_metrics(text_column)),
-                _per_source(source_metrics, chosen),
-                _per_source({name: keys[:2] for name, keys in source_metrics.items()}, chosen),
-            ),
-            "rota_dimensions": _kept(
-                _given_or(given_dimensions, infer_dimensions(text_column)),
-                own_dimensions,
-                _per_source({name: keys[:1] for name, keys in source_dimensions.items()}, chosen),
-            ),
-            "rota_filters": F.map_filter(merged, lambda field, _: F.array_contains(own_dimensions, field)),
-            "__dates": dates,
+            "__own_metrics": _per_source(source_metrics, chosen),
+            "__own": _per_source(source_dimensions, chosen),
+        }
+    ).withColumns(
+        {
+            "__kept_metrics": _both(F.col("__metrics"), F.col("__own_metrics")),
+            "__kept": _both(F.col("__dimensions"), own),
         }
     )
 
@@ -171,22 +236,27 @@ def route_questions(
         return F.concat(F.lit(before), chosen, F.lit(after))
 
     no_range = F.col("__dates").isNull()
-    has_period = F.array_contains(own_dimensions, F.lit("period"))
+    is_empty = lambda given: ~(F.coalesce(F.size(given), F.lit(0)) > 0)
     notes = [
         F.when(given_source.isNull(), named(V.NOTE_SOURCE)),
-        F.when(~(F.coalesce(F.size(given_metrics), F.lit(0)) > 0), F.lit(V.NOTE_METRICS)),
-        F.when(~(F.coalesce(F.size(given_dimensions), F.lit(0)) > 0), F.lit(V.NOTE_DIMENSIONS)),
+        F.when(is_empty(given_metrics), F.lit(V.NOTE_METRICS)),
+        F.when(is_empty(given_dimensions), F.lit(V.NOTE_DIMENSIONS)),
         F.when(no_range, F.lit(V.NOTE_NO_RANGE)),
-        F.when(~no_range & has_period, F.lit(V.NOTE_MONTHS)),
+        F.when(~no_range & F.array_contains(own, "period"), F.lit(V.NOTE_MONTHS)),
         F.when(chosen != V.DEFAULT_SOURCE, named(V.NOTE_DETAIL)),
     ]
-    return routed.withColumns(
-        {
-            "rota_start_date": F.col("__dates.start_date"),
-            "rota_end_date": F.col("__dates.end_date"),
-            "rota_notes": F.array_compact(F.array(*notes)),
-        }
-    ).drop("__folded", "__dates")
+    return routed.select(
+        *frame.columns,
+        "rota_source",
+        _first_filled(F.col("__kept_metrics"), F.slice("__own_metrics", 1, 2)).alias("rota_metrics"),
+        _first_filled(F.col("__kept"), F.slice("__own", 1, 1)).alias("rota_dimensions"),
+        let(
+            own, lambda known: F.map_filter("__filters", lambda field, _: F.array_contains(known, field))
+        ).alias("rota_filters"),
+        F.col("__dates.start_date").alias("rota_start_date"),
+        F.col("__dates.end_date").alias("rota_end_date"),
+        F.array_compact(F.array(*notes)).alias("rota_notes"),
+    )
 
 
 def routing_mix(routed: DataFrame) -> DataFrame:
