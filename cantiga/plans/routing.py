@@ -138,7 +138,8 @@ def infer_dates(question: Column, folded: Column, tags: Column, today: Column) -
     first, second = F.get(found, 0), F.get(found, 1)
     rules = [F.when(first.isNotNull(), span(first, F.coalesce(second, first)))]
     digits = F.regexp_extract(folded, f"(?U){V.LAST_DAYS}", 2)
-    days = F.greatest(digits.try_cast("int") - 1, F.lit(0))
+    count = digits.try_cast("int")
+    days = F.when(count.isNotNull(), F.greatest(count - 1, F.lit(0)))
     # A count that reaches before year 1, or that is no integer, leaves the start open.
     start = F.when(days <= F.datediff(today, F.lit("0001-01-01").cast("date")), back(days))
     rules.append(F.when(digits != "", span(start, back(0))))

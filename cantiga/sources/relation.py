@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,12 @@ def single_row_lookup(key: str, column: str, table: Callable[[], DataFrame], ali
             .agg(F.max(column).alias("__value"), F.count("*").alias("__rows"))
         )
         joined = frame.join(rows, frame[alias] == F.col("__key"), "left")
-        value = F.when(
-            F.col("__rows") > 1,
-            F.raise_error(F.concat(F.lit(f"more than one {column} for {key} "), F.col("__key").cast("string"))).cast(
-                table().schema[column].dataType
-            ),
-        ).otherwise(F.col("__value"))
+        # A row number is never negative; being bound to its task, it keeps a filter on the column,
+        # and with it the failure, from being moved to the rows of the table nobody asked for.
+        repeated = (F.col("__rows") > 1) & (F.monotonically_increasing_id() >= 0)
+        message = F.concat(F.lit(f"more than one {column} for {key} "), F.col("__key").cast("string"))
+        failure = F.raise_error(message).cast(table().schema[column].dataType)
+        value = F.when(repeated, failure).otherwise(F.col("__value"))
         return joined.withColumn(column, value).drop("__key", "__value", "__rows")
 
     return Lookup((alias,), (column,), attach)
@@ -79,7 +80,7 @@ class Relation:
     days: tuple[tuple[str, str], ...] = ()
     """(month column, date column it was derived from) pairs of the base."""
 
-    @property
+    @cached_property
     def base_columns(self) -> frozenset[str]:
         return frozenset(self.base.columns)
 
