@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,19 @@ def key_uniqueness(frame: DataFrame, keys: Sequence[str], name: str) -> DataFram
     )
 
 
+def as_measures(frame: DataFrame, report: str, labels: Sequence[str] = ()) -> DataFrame:
+    """A measure table in long form: report, label, measure, value."""
+    numbers = [c for c in frame.columns if c not in labels]
+    label = F.concat_ws(".", *labels) if labels else F.lit("")
+    wide = frame.select(label.alias("item"), *[F.col(c).cast("double").alias(c) for c in numbers])
+    return wide.unpivot("item", numbers, "medida", "valor").select(F.lit(report).alias("relatorio"), "item", "medida", "valor")
+
+
+def quality_report(**parts: tuple[DataFrame, Sequence[str]]) -> DataFrame:
+    """Named (measure table, label columns) pairs below each other in long form."""
+    return reduce(DataFrame.unionByName, [as_measures(frame, name, labels) for name, (frame, labels) in parts.items()])
+
+
 def over_count(raw: DataFrame, latest: DataFrame, value: str) -> DataFrame:
     """Per status: rows and value with every status row counted, and with the latest row only."""
 

@@ -73,7 +73,13 @@ def _tags_of_words() -> dict[str, list[str]]:
     say(_TRACK, V.TRACK_WORDS)
     for rule, (words, _, _) in enumerate(V.RELATIVE_DAYS):
         say(_days(rule), words)
-    return said
+
+    def says_more(word: str) -> bool:
+        """Whether the word says anything the words inside it do not say already."""
+        inside = {tag for other, tags in said.items() if other != word and other in word for tag in tags}
+        return not set(said[word]) <= inside
+
+    return {word: tags for word, tags in said.items() if says_more(word)}
 
 
 def _texts(values: Iterable[str]) -> Column:

@@ -35,6 +35,10 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in _RUNTIME.items():
         if not explicit.contains(key):
             spark.conf.set(key, value)
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if not (explicit.contains(first) or explicit.contains("spark.sql.shuffle.partitions")):
+        # Shuffles start with enough partitions for every core; small ones are merged at run time.
+        spark.conf.set(first, str(max(200, 3 * spark.sparkContext.defaultParallelism)))
     return spark
 
 

@@ -16,6 +16,7 @@ from cantiga.operators.calendar import build_calendar, fixed_holidays, with_cale
 from cantiga.operators.latest import change_counts, latest_per_key, status_changes
 from cantiga.operators.unify import FACT_COLUMNS
 from cantiga.plans import bookings, digest, routing
+from cantiga.plans.ask import ask
 from cantiga.plans.catalogue import catalogue_usage
 from cantiga.plans.metrics import metric_query
 from cantiga.session import shared_folder, tune
@@ -321,8 +322,8 @@ def _(star):
 
 
 def _changes(star):
-    month = F.trunc(F.col("inserted_at").cast("date"), "month")
-    return status_changes(star.status_rows, ["contrato"], "status", STATUS_ORDER, month)
+    day = F.col("inserted_at").cast("date")
+    return status_changes(star.status_rows, ["contrato"], "status", STATUS_ORDER, day)
 
 
 @register(
@@ -605,6 +606,48 @@ def _(star):
     return quality.over_count(star.status_rows, star.latest_rows, "valor_liquido")
 
 
+_REPORT = {
+    "cobertura_artista": ("match_coverage", ["plataforma_origem"]),
+    "cobertura_canal": ("channel_coverage", []),
+    "titulos_corrompidos": ("corrupted_titles", []),
+    "chaves": ("key_uniqueness", ["chave"]),
+    "deriva_categoria": ("category_drift", ["tipo", "grupo", "categoria"]),
+    "contagem_dupla": ("over_count_by_status", ["status"]),
+}
+
+
+def _report_sql() -> str:
+    """The measures of the single reports, unpivoted."""
+    parts = []
+    for name, (query, labels) in _REPORT.items():
+        item = " || '.' || ".join(labels) or "''"
+        parts.append(
+            f"""SELECT '{name}' AS relatorio, item, medida, valor FROM (UNPIVOT (
+                  SELECT {item} AS item, CAST(COLUMNS(* EXCLUDE ({', '.join(labels) or 'nothing_'})) AS DOUBLE)
+                  FROM (SELECT *{"" if labels else ", 0 AS nothing_"} FROM ({ORACLE[query]}))
+                ) ON COLUMNS(* EXCLUDE (item)) INTO NAME medida VALUE valor)"""
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+@register("quality_report", _report_sql())
+def _(star):
+    keys = (
+        quality.key_uniqueness(star.chappell.base, ["source_file", "line_number"], "source_file+line_number")
+        .unionByName(quality.key_uniqueness(star.chappell.base, ["row_hash"], "row_hash"))
+        .unionByName(quality.key_uniqueness(star.status_rows, ["contrato"], "contrato"))
+    )
+    channels = quality.key_coverage(star.chappell, ["income_provider_name", "exploitation_source"], "descricao_canal")
+    return quality.quality_report(
+        cobertura_artista=(quality.match_coverage(star.royalties), ["plataforma_origem"]),
+        cobertura_canal=(channels, []),
+        titulos_corrompidos=(quality.corrupted_titles(star.orchard, "titulo_musica", ["l_partkey"]), []),
+        chaves=(keys, ["chave"]),
+        deriva_categoria=(ledger.category_drift(star.ledger_entries, star.categories), ["tipo", "grupo", "categoria"]),
+        contagem_dupla=(quality.over_count(star.status_rows, star.latest_rows, "valor_liquido"), ["status"]),
+    )
+
+
 # ---- digests ---------------------------------------------------------------------------
 
 _DIGEST = ("royalty_performance", ["royalties", "quantity"], ["artist", "origem"])
@@ -751,6 +794,34 @@ def _(star):
     return routing.routing_mix(_routed_log(star))
 
 
+@register(
+    "question_answered_from_tracks",
+    O.metric_sql("orchard_detail", ["quantity", "royalties"], ["artist", "track"], limit=100),
+)
+def _(star):
+    return ask(star.spark, star.registry, "Quais faixas da Orchard mais tocaram por artista?", AS_OF_QUESTIONS).result.frame
+
+
+@register(
+    "question_answered_with_range_and_filter",
+    O.metric_sql(
+        "royalty_performance", ["royalties"], ["artist", "period"],
+        "period BETWEEN '1996-01' AND '1996-06' AND lower(origem) = 'warner music'", 40,
+    ),
+)
+def _(star):
+    question = "Royalties da Warner Music por artista e periodo, de 1996-01-10 a 1996-06-02"
+    return ask(star.spark, star.registry, question, AS_OF_QUESTIONS, limit=40).result.frame
+
+
+@register(
+    "question_answered_from_ledger",
+    O.metric_sql("omie_detail", ["revenue", "cost"], ["period"], limit=100),
+)
+def _(star):
+    return ask(star.spark, star.registry, "Receita e custos mensal do financeiro", AS_OF_QUESTIONS).result.frame
+
+
 def _catalogue_values() -> str:
     def text(value):
         return "NULL" if value is None else "'" + value.replace("'", "''") + "'"

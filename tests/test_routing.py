@@ -162,3 +162,36 @@ def test_mix(spark):
     assert mix[("royalty_performance", "dimension", "period")] == 1
     assert mix[("omie_detail", "metric", "cost")] == 1
     assert date.fromisoformat(TODAY) - timedelta(days=6) == date(2026, 6, 20)
+
+
+def test_one_question_from_text_to_digest(spark):
+    from decimal import Decimal
+
+    from cantiga.plans.ask import ask
+    from cantiga.sources.registry import Registry
+    from cantiga.sources.relation import Relation
+
+    fact = spark.createDataFrame(
+        [("2026-06", "Ana", "Orchard", "N/D", Decimal(1), Decimal(5)), ("2026-06", "Bia", "Orchard", "N/D", Decimal(1), Decimal(9)),
+         ("2026-05", "Ana", "Orchard", "N/D", Decimal(1), Decimal(70)), ("2026-06", "Ana", "DSU", "Shows", Decimal(1), Decimal(80))],
+        "periodo string, artista string, plataforma_origem string, tipo_remuneracao string, quantidade decimal(18,4), "
+        "valor_royalties decimal(18,4)",
+    )
+    registry = Registry({"royalty_performance": lambda: Relation(fact, ("public.fact",))})
+    answer = ask(spark, registry, "Royalties da Orchard por artista hoje", TODAY, metrics=["royalties"])
+    assert answer.request.filters == {"origem": "Orchard"} and answer.request.date_range == (TODAY, TODAY)
+    assert answer.result.source_tables == ("public.fact",)
+    assert [tuple(r) for r in answer.result.frame.collect()] == [("Ana", 5), ("Bia", 9)]
+    assert tuple(answer.digest().leader.first()) == ("Bia", "royalties", "9,00")
+
+
+def test_dropped_words_change_nothing(spark):
+    from cantiga.plans.routing import _tags_of_words
+
+    kept = _tags_of_words()
+    groups = [V.METRIC_WORDS, V.DIMENSION_WORDS, V.SOURCE_WORDS]
+    for group, tag in zip(groups, ("metric", "dimension", "source"), strict=True):
+        for key, words in group.items():
+            for word in words:
+                said = {t for k, tags in kept.items() if k in word for t in tags}
+                assert f"{tag} {key}" in said or not word.isascii()
