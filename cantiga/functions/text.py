@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -91,14 +92,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: use(bound)), 0)
 
 
-def contains_any(column: Column, words: list[str] | tuple[str, ...]) -> Column:
-    """True when one of the words occurs anywhere, also inside another word.
+def longest_of(words: Iterable[str]) -> str:
+    """Pattern for the longest of ``words`` at a position.
 
-    A word that has another listed word inside it adds nothing and is left out.
+    Words that begin alike share their beginning, so a position is given up
+    after one letter when no word begins with it.
     """
-    unique = list(dict.fromkeys(words))
-    needed = [w for w in unique if not any(o != w and o in w for o in unique)]
-    hit = F.lit(False)
-    for word in needed:
-        hit = hit | F.contains(column, F.lit(word))
-    return hit
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(char) + pattern(below) for char, below in node.items() if char]
+        if not branches:
+            return ""
+        choice = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return choice + "?" if "" in node else choice
+
+    return pattern(tree)

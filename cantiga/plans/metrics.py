@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cantiga.catalog import Dimension, Metric, approved_source, check_keys
 from cantiga.functions.months import days_between_months, months_between
 from cantiga.sources.registry import Registry
-from cantiga.sources.relation import Relation
+from cantiga.sources.relation import Lookup, Relation
 
 DEFAULT_LIMIT = 100
 
@@ -64,7 +64,8 @@ def metric_query(
     holds a third of the table is one row per task by the time it is joined.
     """
     spec = approved_source(source)
-    check_keys(spec, list(metrics), list(dimensions))
+    metrics, dimensions = list(dict.fromkeys(metrics)), list(dict.fromkeys(dimensions))
+    check_keys(spec, metrics, dimensions)
     if not metrics and not dimensions:
         raise ValueError("A query needs a metric or a dimension")
 
@@ -115,7 +116,7 @@ def _sum_directly(frame: DataFrame, chosen: list[Dimension], measured: list[Metr
 def _sum_then_look_up(
     frame: DataFrame,
     relation: Relation,
-    chain: list,
+    chain: list[Lookup],
     chosen: list[Dimension],
     measured: list[Metric],
     late_filters: list[tuple[Dimension, object]],
@@ -138,9 +139,7 @@ def _sum_then_look_up(
     for dimension, value in late_filters:
         widened = widened.where(_equal_ignoring_case(dimension, value))
 
-    keys = [
-        (F.col(f"dim__{d.key}") if d in early else d.value()).alias(d.key) for d in chosen
-    ]
+    keys = [(F.col(f"dim__{d.key}") if d in early else d.value()).alias(d.key) for d in chosen]
     if not measured:
         return widened.select(*keys).distinct()
     sums = [_zero_for_counts(m, F.sum(f"sum__{m.key}")).alias(m.key) for m in measured]

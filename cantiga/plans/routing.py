@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cantiga import vocabulary as V
 from cantiga.catalog import SOURCES
-from cantiga.functions.text import fold, fold_text, let, word_list
+from cantiga.functions.text import fold, fold_text, let, longest_of, word_list
 
 _TEXTS = "array<string>"
 _PAIRS = "map<string,string>"
@@ -89,12 +89,16 @@ def _texts(values: Iterable[str]) -> Column:
 def question_tags(folded: Column) -> Column:
     """Everything the words found in the text say, as an array.
 
-    A word counts wherever it occurs, also inside another word.
+    A word counts wherever it occurs, also inside another word.  The text is
+    read once: at each position the longest word is taken, and the words inside
+    it, which include all shorter ones at that position, speak through it.
     """
     said = _tags_of_words()
-    words = word_list(said)
-    meaning = F.map_from_arrays(words, F.array(*[word_list(tags) for tags in said.values()]))
-    found = let(folded, lambda text: F.filter(words, lambda word: F.contains(text, word)))
+    spoken = {
+        word: dict.fromkeys(tag for other, tags in said.items() if other in word for tag in tags) for word in said
+    }
+    meaning = F.map_from_arrays(word_list(spoken), F.array(*[word_list(tags) for tags in spoken.values()]))
+    found = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({longest_of(said)}))"), F.lit(1)))
     return F.array_distinct(F.flatten(F.transform(found, lambda word: F.element_at(meaning, word))))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantiga.functions.money import percent, plain_values
 from cantiga.functions.months import add_months_text, days_between_months, receipt_month
-from cantiga.functions.text import contains_any, fold, fold_text
+from cantiga.functions.text import fold, fold_text, let, longest_of
 from cantiga.plans.digest import formatted
 
 
@@ -49,9 +49,20 @@ def test_folding_keeps_null(spark):
     assert one(spark, fold_text(F.lit(None).cast("string")))[0] is None
 
 
-def test_words_inside_words_count(spark):
-    row = one(spark, contains_any(F.lit("ultimos 7 dias"), ["dia"]), contains_any(F.lit("abc"), ["x", "bcd"]))
-    assert tuple(row) == (True, False)
+def test_longest_word_at_each_position(spark):
+    words = ["show", "shows", "showroom", "how", "co-autor", "a b", "b"]
+    for text in ["meus shows no showroo", "co-autor a b", "showshow", "", "sho"]:
+        expected = []
+        for at in range(len(text)):
+            here = [w for w in words if text.startswith(w, at)]
+            expected += [max(here, key=len)] if here else []
+        got = one(spark, F.regexp_extract_all(F.lit(text), F.lit(f"(?=({longest_of(words)}))"), F.lit(1)))[0]
+        assert got == expected, text
+
+
+def test_let_binds_a_value(spark):
+    row = one(spark, let(F.lit(3), lambda x: x * x), let(F.lit(None).cast("int"), lambda x: F.coalesce(x, F.lit(1))))
+    assert tuple(row) == (9, 1)
 
 
 def test_brazilian_numbers(spark):
