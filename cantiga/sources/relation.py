@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,28 @@ def left_lookup(keys: Iterable[str], provides: Iterable[str], table: Callable[[]
     return Lookup(keys, provides, attach)
 
 
+def _numbered(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]
+
+
+def _join_to_sums(frame: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of ``frame`` to a grouped table, whose columns ``key_0``, ``key_1``.. pair with ``keys``.
+
+    A null key matches nothing, yet all rows that have one would meet in one
+    task.  A second key, the number of the task they come from, keeps them
+    apart; for all other rows, and in the table, it is zero.  As the table is
+    not grouped by the second key it is shuffled for the join, which is what
+    adaptive skew splitting needs to see.
+    """
+    is_null = reduce(or_, [F.col(k).isNull() for k in keys])
+    left = frame.withColumn("__apart", F.when(is_null, F.spark_partition_id()).otherwise(F.lit(0)))
+    # Always zero, but not a constant: a constant would drop out of the join keys.
+    right = sums.withColumn("__zero", F.pmod(F.hash("key_0"), F.lit(1)))
+    same = [F.col(k) == F.col(f"key_{i}") for i, k in enumerate(keys)]
+    joined = left.join(right, reduce(and_, [*same, F.col("__apart") == F.col("__zero")]), "left")
+    return joined.drop("__apart", "__zero", *[f"key_{i}" for i in range(len(keys))])
+
+
 def single_row_lookup(key: str, column: str, table: Callable[[], DataFrame], alias: str) -> Lookup:
     """Left join that fails when a probed key has more than one row.
 
@@ -44,17 +67,17 @@ def single_row_lookup(key: str, column: str, table: Callable[[], DataFrame], ali
         rows = (
             table()
             .where(F.col(key).isNotNull())
-            .groupBy(F.col(key).alias("__key"))
+            .groupBy(*_numbered([key]))
             .agg(F.max(column).alias("__value"), F.count("*").alias("__rows"))
         )
-        joined = frame.join(rows, frame[alias] == F.col("__key"), "left")
+        joined = _join_to_sums(frame, rows, [alias])
         # A row number is never negative; being bound to its task, it keeps a filter on the column,
         # and with it the failure, from being moved to the rows of the table nobody asked for.
         repeated = (F.col("__rows") > 1) & (F.monotonically_increasing_id() >= 0)
-        message = F.concat(F.lit(f"more than one {column} for {key} "), F.col("__key").cast("string"))
+        message = F.concat(F.lit(f"more than one {column} for {key} "), F.col(alias).cast("string"))
         failure = F.raise_error(message).cast(table().schema[column].dataType)
         value = F.when(repeated, failure).otherwise(F.col("__value"))
-        return joined.withColumn(column, value).drop("__key", "__value", "__rows")
+        return joined.withColumn(column, value).drop("__value", "__rows")
 
     return Lookup((alias,), (column,), attach)
 
@@ -64,8 +87,7 @@ def any_row_lookup(keys: Iterable[str], column: str, table: Callable[[], DataFra
     keys = tuple(keys)
 
     def attach(frame: DataFrame) -> DataFrame:
-        one = table().groupBy(*keys).agg(F.min(column).alias(column))
-        return frame.join(one, list(keys), "left")
+        return _join_to_sums(frame, table().groupBy(*_numbered(keys)).agg(F.min(column).alias(column)), keys)
 
     return Lookup(keys, (column,), attach)
 

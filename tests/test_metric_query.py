@@ -197,3 +197,25 @@ def test_parquet_tables_and_jdbc_options(spark, tmp_path):
     assert result.source_tables == ("public.vw_ft_dados_analiticos_union",)
     options = jdbc_options("jdbc:postgresql://h/d", "public.t", "id", 0, 10, 4)
     assert options["numPartitions"] == "4" and options["partitionColumn"] == "id"
+
+
+def test_rows_without_a_key_are_spread_over_tasks(spark):
+    """Most rows unmatched: their null keys must not meet in one partition of the join."""
+    from pyspark.sql import functions as F
+
+    from cantiga.sources.relation import any_row_lookup
+
+    frame = spark.range(0, 20_000, 1, 40).select(F.when(F.col("id") % 50 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    names = spark.range(20_000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = any_row_lookup(["k"], "name", lambda: names).attach(frame)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 20_000 / 4
+    assert joined.columns == ["k", "v", "name"]
+    assert joined.count() == 20_000 and joined.where("name = concat('n', k)").count() == 400
