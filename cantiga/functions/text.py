@@ -49,8 +49,9 @@ def _folding_rules() -> tuple[str, str, dict[str, str]]:
 def fold_text(column: Column) -> Column:
     """Lower case, compatibility forms unified, combining marks removed.
 
-    Plain ASCII text takes the first branch, and only text holding a ligature
-    or a similar character that becomes several letters takes the last one.
+    Plain ASCII text takes the first branch.  Only text holding a ligature or a
+    similar character that becomes several letters takes the last one; most
+    Latin text is cleared of that by the first, short class.
     """
     source, target, several = _folding_rules()
     lowered = F.lower(column)
@@ -62,19 +63,25 @@ def fold_text(column: Column) -> Column:
     )
     return (
         F.when(~column.rlike(r"[^\x00-\x7F]"), lowered)
-        .when(~lowered.rlike(_near(several)), folded)
+        .when(~lowered.rlike(_near(several, 1)) | ~lowered.rlike(_near(several)), folded)
         .otherwise(spelled_out)
     )
 
 
-def _near(chars: Iterable[str]) -> str:
-    """Character class of few ranges around ``chars``; gaps of up to 8 are filled."""
+def _near(chars: Iterable[str], runs_kept: int | None = None) -> str:
+    """Character class of few ranges around ``chars``; gaps of up to 8 are filled.
+
+    With ``runs_kept`` all ranges from that one on are taken as one, up to the
+    last character there is: a class quicker to test that holds more.
+    """
     runs: list[list[int]] = []
     for code in sorted(map(ord, chars)):
         if runs and code - runs[-1][1] <= 8:
             runs[-1][1] = code
         else:
             runs.append([code, code])
+    if runs_kept is not None:
+        runs[runs_kept:] = [[runs[runs_kept][0], 0x10FFFF]]
     return "[" + "".join(f"{chr(first)}-{chr(last)}" for first, last in runs) + "]"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import date
 from functools import lru_cache
 
@@ -106,12 +106,10 @@ def _has(tags: Column, tag: str) -> Column:
     return F.array_contains(tags, tag)
 
 
-def _named(tags: Column, keys: Iterable[str], tag_of) -> Column:
+def _named(tags: Column, keys: Iterable[str], tag_of: Callable[[str], str]) -> Column:
     """The keys whose tag is there, in their own order."""
-    prefix = tag_of("")
-    return let(
-        tags, lambda known: F.filter(_texts(keys), lambda key: F.array_contains(known, F.concat(F.lit(prefix), key)))
-    )
+    there = F.array_intersect(word_list(tag_of(key) for key in keys), tags)
+    return F.transform(there, lambda tag: F.substring(tag, len(tag_of("")) + 1, 100))
 
 
 def infer_source(tags: Column) -> Column:
