@@ -8,6 +8,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, database
+from checks.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +19,8 @@ def connection():
 
 
 def test_all_queries_have_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 def test_entry(spark):
@@ -27,7 +29,7 @@ def test_entry(spark):
     assert frame.count() == 100
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
     good, text = compare(spark, connection, FOLDER, name, queries()[name], oracle_sql()[name])
     assert good, text
