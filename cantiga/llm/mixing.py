@@ -24,6 +24,8 @@ from cantiga.llm.common import Stored
 
 #: Fractions as near to 0 or 1 as this count as such.
 _NEAR = 1e-9
+#: Documents of a source's last block that the landing decides, beside those the flight leaves open.
+LANDING = 64
 
 
 def _flight(fractions: list[float], sizes: list[float], draw: random.Random) -> list[float]:
@@ -62,16 +64,12 @@ def _flight(fractions: list[float], sizes: list[float], draw: random.Random) ->
 
 
 def _land(fractions: list[float], sizes: list[float]) -> list[float]:
-    """Whole numbers for the few open documents: words nearest to the expected, then documents."""
-    opened = [i for i, f in enumerate(fractions) if 0 < f < 1]
-    words, number = sum(fractions[i] * sizes[i] for i in opened), sum(fractions[i] for i in opened)
-    best = min(
-        itertools.product((0.0, 1.0), repeat=len(opened)),
-        key=lambda x: (abs(sum(v * sizes[i] for v, i in zip(x, opened)) - words), abs(sum(x) - number), x),
-    )
-    out = list(fractions)
-    for v, i in zip(best, opened):
-        out[i] = v
+    """Whole numbers for what is open, by descending size, each the one that keeps the words so far nearest to the expected."""
+    out, error = list(fractions), 0.0
+    for i in sorted((i for i, f in enumerate(fractions) if 0 < f < 1), key=lambda i: -sizes[i]):
+        once = error + (1 - fractions[i]) * sizes[i]
+        never = error - fractions[i] * sizes[i]
+        out[i], error = (1.0, once) if abs(once) < abs(never) else (0.0, never)
     return out
 
 
@@ -79,10 +77,13 @@ def _fly_block(block: pd.DataFrame) -> pd.DataFrame:
     # Long documents are decided first, so that those left open are short.
     block = block.sort_values(["size", "order", "id"], ascending=[False, True, True], na_position="first", kind="stable")
     fractions, sizes = block["fraction"].tolist(), [float(x) for x in block["size"]]
-    moved = _flight(fractions, sizes, random.Random(int(block["order"].iloc[0])))
-    if block["last"].iloc[0]:
-        moved = _land(moved, sizes)
-    return block.assign(fraction=moved)
+    # A source's last block keeps documents of all sizes for the landing, which a long one could not even out alone.
+    step = max(4, -(-len(fractions) // LANDING)) if block["last"].iloc[0] else 0
+    flying = [i for i in range(len(fractions)) if not step or i % step]
+    moved = _flight([fractions[i] for i in flying], [sizes[i] for i in flying], random.Random(int(block["order"].iloc[0])))
+    for i, fraction in zip(flying, moved):
+        fractions[i] = fraction
+    return block.assign(fraction=_land(fractions, sizes) if step else fractions)
 
 
 def ranked(stored: Stored, values: DataFrame, order: list[Column]) -> DataFrame:
