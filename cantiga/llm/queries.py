@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantiga.llm import mixing, packing, sharding, url_templates
-from cantiga.llm.common import table, word_count
+from cantiga.llm import html_text, language, mixing, packing, pu_quality, rules, sharding, url_templates
+from cantiga.llm.common import remainder, table, word_count
 
 SHARD_BYTES = 1 << 20
+QUALITY_SCORE = 0.7
 MIX_WEIGHTS = [1.0, 2.0, 3.0]
 URL_RULES = [
     url_templates.Rule("com", "/", "allow"),
@@ -27,6 +28,15 @@ def op1_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.extendible_shards(documents, F.col("doc_id"), F.octet_length("text"), SHARD_BYTES, ["doc_id"]).rows
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged, _ = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
 def op6_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -36,13 +46,31 @@ def op7_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    documents, held_out = table(spark, folder, "documents"), remainder(F.col("doc_id"), 5) == 0
+    trees = language.learn(documents.where(~held_out))
+    found = language.identify(documents, trees)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
     judged = url_templates.judge_urls(pages.select(F.col("page_id").alias("id"), "url"), labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")), URL_RULES)
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, folder, "labels").where(~held_out)
+    scored, _ = pu_quality.score_quality(table(spark, folder, "documents"), labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_SCORE).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_shards, op6_packed_sequences, op7_mixed_sources, op9_url_verdicts)
+    f.__name__: f
+    for f in (
+        op1_extendible_shards, op2_quality_rules, op5_main_text, op6_packed_sequences, op7_mixed_sources, op8_languages, op9_url_verdicts,
+        op10_quality_scores,
+    )
 }
 ORACLE: dict[str, str] = {}
