@@ -87,3 +87,67 @@ def free_name(frame: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def grouped_pass(frame: DataFrame, group: str, each: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``each`` on the rows of each group, for very many small groups.
+
+    The rows are dealt by the group and sorted, and one task goes from group to
+    group in a single pass; the caller sees to it that no group is large.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            start = 0
+            for i, name in enumerate(names):
+                if name != last:
+                    if i > start:
+                        parts.append(batch.slice(start, i - start))
+                    if parts:
+                        yield from each(pa.Table.from_batches(parts))
+                    parts, start, last = [], i, name
+            if len(names) > start:
+                parts.append(batch.slice(start))
+        if parts:
+            yield from each(pa.Table.from_batches(parts))
+
+    ordered = frame.select(group, *[c for c in frame.columns if c != group]).repartition(F.col(group)).sortWithinPartitions(group)
+    return ordered.mapInArrow(walk, schema)
+
+
+def components(stored: Stored, edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of every node of the edges (``a``, ``b``): the least node of its component.
+
+    Large-star and small-star steps in turn: neighbours are hung below the least
+    node known, until nothing changes; the number of rounds grows with the
+    logarithm of a component's length.  Each step is a sum and a join on one
+    key, which adaptive execution splits where a node has very many edges.
+    """
+
+    def star(links: DataFrame, large: bool) -> DataFrame:
+        # Each node with its neighbours; small stars look at lesser neighbours only.
+        near = links if not large else links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
+        hung = near.join(least, F.col("a") == F.col("of"))
+        if large:
+            return hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        below = hung.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return below.union(hung.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+
+    def mark(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+
+    links = stored.keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = mark(links)
+    while before[0]:
+        new = stored.keep(star(star(links, True), False))
+        stored.drop(links)
+        links, now = new, mark(new)
+        if now == before:
+            break
+        before = now
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(roots.select("root", "root").distinct().toDF("node", "root"))

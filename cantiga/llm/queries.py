@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantiga.llm import html_text, language, mixing, packing, pu_quality, rules, sharding, url_templates
+from cantiga.llm import html_text, language, mixing, ngram_join, packing, pu_quality, rules, sharding, sql, url_templates
 from cantiga.llm.common import remainder, table, word_count
 
 SHARD_BYTES = 1 << 20
@@ -33,6 +33,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_texts(table(spark, folder, "documents"))
+
+
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"), keep=["page_id", "url"])
 
@@ -69,8 +73,9 @@ def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_extendible_shards, op2_quality_rules, op5_main_text, op6_packed_sequences, op7_mixed_sources, op8_languages, op9_url_verdicts,
+        op1_extendible_shards, op2_quality_rules, op4_similar_texts, op5_main_text, op6_packed_sequences, op7_mixed_sources, op8_languages, op9_url_verdicts,
         op10_quality_scores,
     )
 }
-ORACLE: dict[str, str] = {}
+#: The others learn, draw, tokenize or search step by step, which SQL does not express; their tests hold brute force against them.
+ORACLE: dict[str, str] = {"op1_extendible_shards": sql.shards_sql(SHARD_BYTES), "op9_url_verdicts": sql.urls_sql(URL_RULES, url_templates.TreeSettings())}
