@@ -62,10 +62,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def arrow_pass(frame: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return frame.mapInArrow(each, schema)
-
-
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -76,19 +72,6 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))
 
 
-def input_bytes(frame: DataFrame) -> int:
-    """Spark's estimate of the size of a frame, known without running it."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def free_name(frame: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it until the frame has no such column."""
-    taken = {c.lower() for c in frame.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def grouped_pass(frame: DataFrame, group: str, each: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``each`` on the rows of each group, for very many small groups.
 

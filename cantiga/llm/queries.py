@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantiga.llm import html_text, language, mixing, ngram_join, packing, pu_quality, rules, sharding, sql, url_templates
+from cantiga.llm import html_text, language, mixing, neighbours, ngram_join, packing, pu_quality, rules, sharding, sql, url_templates
 from cantiga.llm.common import remainder, table, word_count
 
 SHARD_BYTES = 1 << 20
@@ -33,6 +33,14 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    index = neighbours.build_index(vectors)
+    if index is None:
+        return neighbours.no_neighbours(vectors)
+    return neighbours.search(index, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op4_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_texts(table(spark, folder, "documents"))
 
@@ -73,7 +81,7 @@ def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_extendible_shards, op2_quality_rules, op4_similar_texts, op5_main_text, op6_packed_sequences, op7_mixed_sources, op8_languages, op9_url_verdicts,
+        op1_extendible_shards, op2_quality_rules, op3_nearest_vectors, op4_similar_texts, op5_main_text, op6_packed_sequences, op7_mixed_sources, op8_languages, op9_url_verdicts,
         op10_quality_scores,
     )
 }
