@@ -32,6 +32,8 @@ class PuSettings:
     steps: int = 400
     rate: float = 0.05
     decay: float = 3e-3
+    #: Parts in turn left out of the fit that the prior is estimated with.
+    folds: int = 3
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,21 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     of_unlabelled = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
     margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
     best = int(np.argmin((of_unlabelled + margin) / of_positive))
-    return float(np.clip(of_unlabelled[best] / of_positive[best], 0.02, 0.98))
+    # The ratio can only be too high, so half the margin comes off.
+    return float(np.clip(of_unlabelled[best] / of_positive[best] - margin / 2, 0.02, 0.98))
+
+
+def _unseen_scores(positive: np.ndarray, unlabelled: np.ndarray, s: PuSettings) -> tuple[np.ndarray, np.ndarray]:
+    """How much each row looks like a positive, by a model that has not seen it."""
+    out = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    draw = np.random.default_rng(5)
+    fold = draw.integers(0, s.folds, len(positive)), draw.integers(0, s.folds, len(unlabelled))
+    for k in range(s.folds):
+        if (fold[0] != k).any() and (fold[1] != k).any():
+            weights, _ = _descend(positive[fold[0] != k], unlabelled[fold[1] != k], None, s)
+            for scores, rows, of in zip(out, (positive, unlabelled), fold):
+                scores[of == k] = _sum(weights, rows[of == k])
+    return out
 
 
 def learn(positive: dict[str, np.ndarray], unlabelled: dict[str, np.ndarray], settings: PuSettings = PuSettings()) -> Model:
@@ -100,8 +116,7 @@ def learn(positive: dict[str, np.ndarray], unlabelled: dict[str, np.ndarray], se
     quantiles = np.linspace(0, 1, settings.bins + 1)[1:-1]
     edges = {name: np.unique(np.quantile(x, quantiles)) for name, x in both.items()}
     p, u = _binned(positive, edges), _binned(unlabelled, edges)
-    apart = _descend(p, u, None, settings)
-    prior = estimate_prior(_sum(apart[0], p), _sum(apart[0], u))
+    prior = estimate_prior(*_unseen_scores(p, u, settings))
     weights, bias = _descend(p, u, prior, settings)
     return Model(edges, weights, bias, prior)
 
