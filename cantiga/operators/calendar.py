@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantiga.functions.months import month_of
+from cantiga.sources.relation import Lookup, left_lookup
+
+CALENDAR_COLUMNS = ("dia_semana", "fim_de_semana", "feriado", "nome_feriado", "uf_feriado", "dia_critico")
 
 # National holidays with a fixed day, and weekday names.
 FIXED_HOLIDAYS = [
@@ -23,29 +26,36 @@ FIXED_HOLIDAYS = [
 WEEKDAYS = ["domingo", "segunda", "terca", "quarta", "quinta", "sexta", "sabado"]
 
 
-def fixed_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """(data, nome_feriado, uf_feriado) of the holidays above for each year."""
-    rows = [
-        (date(year, month, day), name, None)
-        for year in range(first_year, last_year + 1)
-        for month, day, name in FIXED_HOLIDAYS
-    ]
-    return spark.createDataFrame(rows, "data date, nome_feriado string, uf_feriado string")
+def _on_fixed_holiday(day: Column) -> Column:
+    """The name of the fixed holiday on a day of any year, else null."""
+    names = F.create_map(*[F.lit(x) for month, number, name in FIXED_HOLIDAYS for x in (f"{month:02}-{number:02}", name)])
+    return F.try_element_at(names, F.date_format(day, "MM-dd"))
 
 
-def build_calendar(span: DataFrame, holidays: DataFrame, bridge_days: DataFrame | None = None) -> DataFrame:
+def build_calendar(span: DataFrame, holidays: DataFrame | None = None, bridge_days: DataFrame | None = None) -> DataFrame:
     """One row per day of ``span`` (one row: ``inicio``, ``fim``).
 
-    ``dia_critico`` is Friday, Saturday, the eve of a holiday, or a listed
-    bridge day.  A day after the end of the span still counts as a holiday for
-    its eve.
+    ``holidays`` (data, nome_feriado, uf_feriado) replaces the fixed national
+    holidays, which hold in every year.  ``dia_critico`` is Friday, Saturday, the
+    eve of a holiday, or a listed bridge day.  A day after the end of the span
+    still counts as a holiday for its eve.
     """
     days = span.select(F.explode(F.sequence("inicio", "fim")).alias("data"))
-    named = holidays.groupBy("data").agg(
-        F.min("nome_feriado").alias("nome_feriado"), F.min("uf_feriado").alias("uf_feriado")
-    )
-    eves = holidays.select(F.date_sub("data", 1).alias("data")).distinct().withColumn("__eve", F.lit(True))
-    calendar = days.join(named.withColumn("__holiday", F.lit(True)), "data", "left").join(eves, "data", "left")
+    if holidays is None:
+        calendar = days.withColumns(
+            {
+                "nome_feriado": _on_fixed_holiday(F.col("data")),
+                "uf_feriado": F.lit(None).cast("string"),
+                "__holiday": _on_fixed_holiday(F.col("data")).isNotNull(),
+                "__eve": _on_fixed_holiday(F.date_add("data", 1)).isNotNull(),
+            }
+        )
+    else:
+        named = holidays.groupBy("data").agg(
+            F.min("nome_feriado").alias("nome_feriado"), F.min("uf_feriado").alias("uf_feriado")
+        )
+        eves = holidays.select(F.date_sub("data", 1).alias("data")).distinct().withColumn("__eve", F.lit(True))
+        calendar = days.join(named.withColumn("__holiday", F.lit(True)), "data", "left").join(eves, "data", "left")
     if bridge_days is None:
         calendar = calendar.withColumn("__bridge", F.lit(None).cast("boolean"))
     else:
@@ -66,8 +76,11 @@ def build_calendar(span: DataFrame, holidays: DataFrame, bridge_days: DataFrame
     )
 
 
+def calendar_lookup(calendar: Callable[[], DataFrame]) -> Lookup:
+    """The calendar columns by show date; a date with a third of the shows is split."""
+    return left_lookup(["dt_show"], CALENDAR_COLUMNS, lambda: calendar().withColumnRenamed("data", "dt_show"))
+
+
 def with_calendar(contracts: DataFrame, calendar: DataFrame) -> DataFrame:
     """Contracts with the calendar columns of their show date; null outside its span."""
-    columns = ["dia_semana", "fim_de_semana", "feriado", "nome_feriado", "uf_feriado", "dia_critico"]
-    days = calendar.select(F.col("data").alias("dt_show"), *columns)
-    return contracts.join(days, "dt_show", "left")
+    return calendar_lookup(lambda: calendar).attach(contracts)

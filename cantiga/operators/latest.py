@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,47 +18,34 @@ def latest_per_key(frame: DataFrame, keys: Sequence[str], order: Sequence[str])
     return frame.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank")
 
 
-def status_changes(
-    frame: DataFrame, keys: Sequence[str], status: str, order: Sequence[str], slice_of: Column
-) -> DataFrame:
+def status_changes(frame: DataFrame, keys: Sequence[str], status: str, order: Sequence[str]) -> DataFrame:
     """One row per change of ``status`` between neighbouring rows of a key.
 
     Gives the keys, ``order[0]`` of the later row, ``de_status`` and
-    ``para_status``.  ``slice_of`` must rise with ``order`` (the month or day of
-    ``order[0]``).  Neighbours are found inside a slice first and then between
-    the ends of slices, so a key with very many rows is sorted in as many tasks
-    as it has slices.
+    ``para_status``.  The rows are dealt in ranges of key and order, so that the
+    rows of one key, however many, lie in as many tasks as they fill.
+    Neighbours are found inside a range first; then only the first and last rows
+    of ranges are put in order per key, to find those between ranges.
     """
-    moment = order[0]
     rising = [F.col(c).asc_nulls_first() for c in order]
-    inside = Window.partitionBy(*keys, "__slice").orderBy(*rising)
+    inside = Window.partitionBy(*keys, "__range").orderBy(*rising)
+    ranges = frame.select(*dict.fromkeys([*keys, *order, status])).repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *rising)
     marked = (
-        frame.select(*dict.fromkeys([*keys, *order, status]))
-        .withColumn("__slice", slice_of)
+        ranges.withColumn("__range", F.spark_partition_id())
         .withColumn("__n", F.row_number().over(inside))
         .withColumn("__before", F.lag(status).over(inside))
-        .withColumn("__last", F.lead(F.lit(True), 1, False).over(inside) == F.lit(False))
+        .withColumn("__edge", (F.col("__n") == 1) | ~F.lead(F.lit(True), 1, False).over(inside))
+        .where(F.col("__edge") | ~F.col("__before").eqNullSafe(F.col(status)))
     )
-    within = marked.where("__n > 1").select(
-        *keys, moment, F.col("__before").alias("de_status"), F.col(status).alias("para_status")
+    # Rows that are no edge know the row before them; they stay where they are.
+    along = Window.partitionBy(*keys, "__edge", F.when(~F.col("__edge"), F.col("__range"))).orderBy("__range", "__n")
+    first = F.col("__n") == 1
+    return (
+        marked.withColumn("__known", ~first | F.lag(F.lit(True), 1, False).over(along))
+        .withColumn("de_status", F.when(first, F.lag(status).over(along)).otherwise(F.col("__before")))
+        .where(F.col("__known") & ~F.col("de_status").eqNullSafe(F.col(status)))
+        .select(*keys, order[0], "de_status", F.col(status).alias("para_status"))
     )
-    ends = (
-        marked.where("__n = 1 or __last")
-        .groupBy(*keys, "__slice")
-        .agg(
-            F.max(F.when(F.col("__n") == 1, F.col(moment))).alias(moment),
-            F.max(F.when(F.col("__n") == 1, F.col(status))).alias("para_status"),
-            F.max(F.when(F.col("__last"), F.col(status))).alias("__end"),
-        )
-    )
-    between_slices = Window.partitionBy(*keys).orderBy("__slice")
-    across = (
-        ends.withColumn("de_status", F.lag("__end").over(between_slices))
-        .withColumn("__n", F.row_number().over(between_slices))
-        .where("__n > 1")
-        .select(*keys, moment, "de_status", "para_status")
-    )
-    return within.unionByName(across).where(~F.col("de_status").eqNullSafe(F.col("para_status")))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantiga.sources.relation import join_to_sums
+
 CATEGORY_KEYS = ["tipo", "grupo", "categoria"]
 
 
 def active_ledger(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """Entries whose group is active.
 
-    A semi join: a group listed twice lets its entries through once.
+    A group listed twice lets its entries through once; one that holds a third of
+    the entries is split.
     """
-    return entries.join(groups.where("ativo").select("grupo").distinct(), "grupo", "left_semi")
+    active = groups.where("ativo").select(F.col("grupo").alias("key_0")).distinct()
+    return join_to_sums(entries, active, ["grupo"], "inner")
 
 
 def category_drift(entries: DataFrame, reference: DataFrame) -> DataFrame:

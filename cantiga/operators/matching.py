@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantiga.sources.relation import Lookup, left_lookup
+from cantiga.sources.relation import Lookup, join_to_sums, left_lookup
 
 MATCH_KEYS = ("plataforma_origem", "chave_artista")
 MATCH_COLUMNS = ("matched_artista_id", "matched_artista_keyword", "artista_casado")
@@ -21,23 +21,17 @@ def array_keys(artists: DataFrame, column: str) -> DataFrame:
     return artists.select(F.explode(column).alias("chave"), "id")
 
 
-def match_keyword(names: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Names that have a keyword anywhere in them, without regard to case.
-
-    ``names``: (nome); ``keywords``: (id, keyword).  Of several keywords the
-    longest wins, then the smallest id.  ``%`` and ``_`` stand for themselves.
+def _by_keyword(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(nome, best): per name the row ``best`` of the longest of the ``words`` (word, best) it contains.
 
     A pattern join would compare every name with every keyword.  Instead each
     distinct name is cut into its substrings of the lengths that occur among
-    the keywords, and those are joined for equality: only true matches pair up.
+    the keywords, each once, and those are joined for equality: only true
+    matches pair up, and a keyword that most names hold is split.
     """
-    words = (
-        keywords.select("id", F.lower("keyword").alias("__word"))
-        .where(F.length("__word") > 0)
-        .groupBy("__word")
-        .agg(F.min("id").alias("id"))
-    )
-    lengths = words.agg(F.collect_set(F.length("__word"))).scalar()
+    lengths = words.agg(F.collect_set(F.length("word"))).scalar()
+    places = F.sequence(F.lit(1), F.length("__lower") - F.col("__length") + 1)
+    cut = F.transform(places, lambda at: F.substring("__lower", at, F.col("__length")))
     pieces = (
         names.select("nome")
         .where(F.col("nome").isNotNull())
@@ -45,54 +39,68 @@ def match_keyword(names: DataFrame, keywords: DataFrame) -> DataFrame:
         .withColumn("__lower", F.lower("nome"))
         .withColumn("__length", F.explode(lengths))
         .where(F.length("__lower") >= F.col("__length"))
-        .withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__lower") - F.col("__length") + 1)))
-        .select("nome", F.expr("substring(__lower, __at, __length)").alias("__word"))
+        .select("nome", F.explode(F.array_distinct(cut)).alias("__word"))
     )
-    return (
-        pieces.join(words, "__word")
-        .groupBy("nome")
-        .agg(F.max(F.struct(F.length("__word").alias("n"), (-F.col("id")).alias("minus_id"))).alias("__best"))
-        .select("nome", (-F.col("__best.minus_id")).alias("id"))
+    found = join_to_sums(pieces, words.withColumnRenamed("word", "key_0"), ["__word"], "inner")
+    longest = F.struct((-F.length("__word")).alias("minus_n"), "best")
+    return found.groupBy("nome").agg(F.min(longest).alias("__longest")).select("nome", F.col("__longest.best").alias("best"))
+
+
+def _words(keywords: DataFrame, best: Column) -> DataFrame:
+    """(word, best): the keywords in lower case, with the least row of each."""
+    lowered = keywords.select(F.lower("keyword").alias("word"), best.alias("best")).where(F.length("word") > 0)
+    return lowered.groupBy("word").agg(F.min("best").alias("best"))
+
+
+def match_keyword(names: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Names that have a keyword anywhere in them, without regard to case.
+
+    ``names``: (nome); ``keywords``: (id, keyword).  Of several keywords the
+    longest wins, then the smallest id.  ``%`` and ``_`` stand for themselves.
+    """
+    return _by_keyword(names, _words(keywords, F.struct("id"))).select("nome", "best.id")
+
+
+def _by_composer(tracks: DataFrame, composers: DataFrame) -> DataFrame:
+    """(codigo_musica, best) of tracks whose composer is among ``composers`` (chave, best); one row per track code."""
+    found = join_to_sums(
+        tracks.select("codigo_musica", F.col("compositor").alias("__composer")), composers.withColumnRenamed("chave", "key_0"), ["__composer"], "inner"
     )
+    return found.groupBy("codigo_musica").agg(F.min("best").alias("best"))
 
 
 def match_composer(tracks: DataFrame, artists: DataFrame) -> DataFrame:
-    """(codigo_musica, id): the track's composer equals the registered one."""
+    """(codigo_musica, id): the track's composer equals the registered one; of a code listed more than once the smallest id."""
     composers = match_exact(artists.select(F.col("universal_compositor").alias("chave"), "id"))
-    return tracks.select("codigo_musica", F.col("compositor").alias("chave")).join(composers, "chave").select(
-        "codigo_musica", "id"
-    )
+    return _by_composer(tracks, composers.select("chave", F.struct("id").alias("best"))).select("codigo_musica", "best.id")
 
 
 def artist_matches(artists: DataFrame, orchard_names: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Every (platform, key) that resolves to a registered artist, one row each."""
-
-    def exact(origin: str, keys: DataFrame) -> DataFrame:
-        return match_exact(keys).select(F.lit(origin).alias("plataforma_origem"), F.col("chave").alias("chave_artista"), "id")
-
-    def key(column: str) -> DataFrame:
-        return artists.select(F.col(column).alias("chave"), "id")
+    """Every (platform, key) that resolves to a registered artist, one row each.
 
-    by_keyword = match_keyword(
-        orchard_names, artists.select("id", F.col("artista_keyword").alias("keyword"))
-    ).select(F.lit("Orchard").alias("plataforma_origem"), F.col("nome").alias("chave_artista"), "id")
-    by_composer = match_composer(tracks, artists).select(
-        F.lit("Universal").alias("plataforma_origem"), F.col("codigo_musica").alias("chave_artista"), "id"
-    )
-    found = (
-        exact("DSU", key("dsu_artista"))
-        .unionByName(by_keyword)
-        .unionByName(by_composer)
-        .unionByName(exact("Warner Chappell", array_keys(artists, "warner_chappel_deal_scope_name")))
-        .unionByName(exact("Warner Music", key("warner_music_artist_name")))
-    )
-    register = artists.select("id", "nome_artistico", "artista_keyword")
-    return found.join(register, "id").select(
+    The register is spread into its keys once; each key takes the register's
+    columns along, so that nothing is joined back to it.
+    """
+    best = F.struct("id", F.col("nome_artistico").alias("name"), F.col("artista_keyword").alias("keyword"))
+    text = lambda column: F.array(F.col(column).cast("string"))
+    kinds = {
+        "DSU": text("dsu_artista"),
+        "Warner Chappell": F.col("warner_chappel_deal_scope_name").cast("array<string>"),
+        "Warner Music": text("warner_music_artist_name"),
+    }
+    keys = F.concat(*[F.transform(F.coalesce(values, F.array()), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("chave"))) for kind, values in kinds.items()])
+    spread = artists.select(best.alias("best"), F.explode(keys).alias("key")).select("key.kind", "key.chave", "best").where(F.col("chave").isNotNull())
+    exact = spread.groupBy(F.col("kind").alias("plataforma_origem"), F.col("chave").alias("chave_artista")).agg(F.min("best").alias("best"))
+    composers = artists.select(F.col("universal_compositor").alias("chave"), best.alias("best")).where(F.col("chave").isNotNull()).groupBy("chave").agg(F.min("best").alias("best"))
+    keywords = _words(artists.withColumn("keyword", F.col("artista_keyword")), best)
+    by_keyword = _by_keyword(orchard_names, keywords).select(F.lit("Orchard").alias("plataforma_origem"), F.col("nome").alias("chave_artista"), "best")
+    by_composer = _by_composer(tracks, composers).select(F.lit("Universal").alias("plataforma_origem"), F.col("codigo_musica").alias("chave_artista"), "best")
+    return exact.unionByName(by_keyword).unionByName(by_composer).select(
         "plataforma_origem",
         "chave_artista",
-        F.col("id").alias("matched_artista_id"),
-        F.when(F.col("plataforma_origem") == "Orchard", F.col("artista_keyword")).alias("matched_artista_keyword"),
-        F.col("nome_artistico").alias("artista_casado"),
+        F.col("best.id").alias("matched_artista_id"),
+        F.when(F.col("plataforma_origem") == "Orchard", F.col("best.keyword")).alias("matched_artista_keyword"),
+        F.col("best.name").alias("artista_casado"),
     )
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -25,12 +26,23 @@ class Lookup:
     attach: Callable[[DataFrame], DataFrame]
 
 
+def constant_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table of literals, whose size Spark knows when it plans joins."""
+    fields = T.StructType.fromDDL(schema).fields
+    return spark.range(1).select(
+        F.inline(F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]))
+    )
+
+
 def left_lookup(keys: Iterable[str], provides: Iterable[str], table: Callable[[], DataFrame]) -> Lookup:
-    """Left join to a table whose ``keys`` are unique."""
+    """Left join to a table of one row per ``keys``; of a key listed more than once the least row counts."""
     keys, provides = tuple(keys), tuple(provides)
 
     def attach(frame: DataFrame) -> DataFrame:
-        return frame.join(table().select(*keys, *provides), list(keys), "left")
+        row = F.struct(*[F.col(c).alias(f"value_{i}") for i, c in enumerate(provides)])
+        single = table().groupBy(*_numbered(keys)).agg(F.min(row).alias("__row"))
+        found = join_to_sums(frame, single, keys)
+        return found.withColumns({c: F.col(f"__row.value_{i}") for i, c in enumerate(provides)}).drop("__row")
 
     return Lookup(keys, provides, attach)
 
@@ -39,8 +51,8 @@ def _numbered(keys: Sequence[str]) -> list[Column]:
     return [F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]
 
 
-def _join_to_sums(frame: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of ``frame`` to a grouped table, whose columns ``key_0``, ``key_1``.. pair with ``keys``.
+def join_to_sums(frame: DataFrame, sums: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join of ``frame`` to a grouped table, whose columns ``key_0``, ``key_1``.. pair with ``keys``.
 
     A null key matches nothing, yet all rows that have one would meet in one
     task.  A second key, the number of the task they come from, keeps them
@@ -49,11 +61,12 @@ def _join_to_sums(frame: DataFrame, sums: DataFrame, keys: Sequence[str]) -> Dat
     adaptive skew splitting needs to see.
     """
     is_null = reduce(or_, [F.col(k).isNull() for k in keys])
-    left = frame.withColumn("__apart", F.when(is_null, F.spark_partition_id()).otherwise(F.lit(0)))
-    # Always zero, but not a constant: a constant would drop out of the join keys.
-    right = sums.withColumn("__zero", F.pmod(F.hash("key_0"), F.lit(1)))
+    # Zero otherwise, but not a constant: a constant would drop out of the join keys.
+    zero = lambda key: F.pmod(F.hash(key), F.lit(1))
+    left = frame.withColumn("__apart", F.when(is_null, F.spark_partition_id()).otherwise(zero(keys[0])))
+    right = sums.withColumn("__zero", zero("key_0"))
     same = [F.col(k) == F.col(f"key_{i}") for i, k in enumerate(keys)]
-    joined = left.join(right, reduce(and_, [*same, F.col("__apart") == F.col("__zero")]), "left")
+    joined = left.join(right, reduce(and_, [*same, F.col("__apart") == F.col("__zero")]), how)
     return joined.drop("__apart", "__zero", *[f"key_{i}" for i in range(len(keys))])
 
 
@@ -70,7 +83,7 @@ def single_row_lookup(key: str, column: str, table: Callable[[], DataFrame], ali
             .groupBy(*_numbered([key]))
             .agg(F.max(column).alias("__value"), F.count("*").alias("__rows"))
         )
-        joined = _join_to_sums(frame, rows, [alias])
+        joined = join_to_sums(frame, rows, [alias])
         # A row number is never negative; being bound to its task, it keeps a filter on the column,
         # and with it the failure, from being moved to the rows of the table nobody asked for.
         repeated = (F.col("__rows") > 1) & (F.monotonically_increasing_id() >= 0)
@@ -87,7 +100,7 @@ def any_row_lookup(keys: Iterable[str], column: str, table: Callable[[], DataFra
     keys = tuple(keys)
 
     def attach(frame: DataFrame) -> DataFrame:
-        return _join_to_sums(frame, table().groupBy(*_numbered(keys)).agg(F.min(column).alias(column)), keys)
+        return join_to_sums(frame, table().groupBy(*_numbered(keys)).agg(F.min(column).alias(column)), keys)
 
     return Lookup(keys, (column,), attach)
 

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from cantiga.functions.money import money
 from cantiga.functions.months import month_of
-from cantiga.operators.calendar import build_calendar, fixed_holidays
+from cantiga.operators.calendar import build_calendar, calendar_lookup
 from cantiga.operators.latest import latest_per_key
 from cantiga.operators.ledger import active_ledger
 from cantiga.operators.matching import artist_lookup, artist_matches
 from cantiga.operators.unify import BRANCH_COLUMNS, show_branch, unify
 from cantiga.sources.registry import PHYSICAL_TABLES, Registry, channel_lookup, gravadora_lookup
-from cantiga.sources.relation import Lookup, Relation, left_lookup
+from cantiga.sources.relation import Lookup, Relation, constant_table, left_lookup
 
 CALENDAR_SPAN = ("1998-01-01", "1999-12-31")
 
@@ -95,7 +95,7 @@ class StarSchema:
         return self._tables[table]
 
     def _inline(self, rows: list[tuple], schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        return constant_table(self.spark, rows, schema)
 
     # ---- dimension tables -------------------------------------------------
 
@@ -153,7 +153,7 @@ class StarSchema:
         span = self.spark.range(1).select(
             F.lit(first).cast("date").alias("inicio"), F.lit(last).cast("date").alias("fim")
         )
-        return build_calendar(span, fixed_holidays(self.spark, int(first[:4]), int(last[:4]) + 1))
+        return build_calendar(span)
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -417,11 +417,10 @@ class StarSchema:
                 F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("contratante")
             )
 
-        calendar_columns = ["dia_semana", "fim_de_semana", "feriado", "nome_feriado", "uf_feriado", "dia_critico"]
         lookups = (
             left_lookup(["o_custkey"], ["artista", "uf", "cidade", "local", "razao_social", "regiao"], customers),
             left_lookup(["l_suppkey"], ["contratante"], suppliers),
-            left_lookup(["dt_show"], calendar_columns, lambda: self.calendar.withColumnRenamed("data", "dt_show")),
+            calendar_lookup(lambda: self.calendar),
         )
         base = self.latest_rows.join(orders, "contrato")
         return Relation(base, ("public.vw_dsu_contratos_calendario",), lookups)

@@ -12,7 +12,7 @@ from cantiga.functions.money import brazilian_number, plain_values
 from cantiga.functions.months import add_months_text
 from cantiga.functions.text import fold_text
 from cantiga.operators import ledger, matching, quality, statements
-from cantiga.operators.calendar import build_calendar, fixed_holidays, with_calendar
+from cantiga.operators.calendar import build_calendar, with_calendar
 from cantiga.operators.latest import change_counts, latest_per_key, status_changes
 from cantiga.operators.unify import FACT_COLUMNS
 from cantiga.plans import bookings, digest, routing
@@ -322,8 +322,7 @@ def _(star):
 
 
 def _changes(star):
-    day = F.col("inserted_at").cast("date")
-    return status_changes(star.status_rows, ["contrato"], "status", STATUS_ORDER, day)
+    return status_changes(star.status_rows, ["contrato"], "status", STATUS_ORDER)
 
 
 @register(
@@ -338,7 +337,7 @@ def _(star):
     span = star.read("orders").agg(
         F.min("o_orderdate").cast("date").alias("inicio"), F.max("o_orderdate").cast("date").alias("fim")
     )
-    return build_calendar(span, fixed_holidays(star.spark, 1990, 2030))
+    return build_calendar(span)
 
 
 def _quality_sql(extra: str = "") -> str:

@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from cantiga.operators.calendar import build_calendar, fixed_holidays, with_calendar
+from cantiga.operators.calendar import build_calendar, with_calendar
 from cantiga.operators.latest import change_counts, latest_per_key, status_changes
 from cantiga.operators.ledger import active_ledger, category_drift
 from cantiga.operators.matching import artist_lookup, artist_matches, match_keyword
@@ -42,18 +42,21 @@ def test_status_changes_equal_a_plain_loop_with_a_hot_contract(spark):
     expected = Counter()
     for states in history.values():
         expected.update((a, b) for a, b in zip(states, states[1:]) if a != b)
-    for part in ("day", "month", "year"):
-        changes = status_changes(
-            spark.createDataFrame(rows, HISTORY), ["contrato"], "status", ["inserted_at", "id"],
-            F.date_trunc(part, "inserted_at"),
-        )
-        got = {(r.de_status, r.para_status): r.mudancas for r in change_counts(changes).collect()}
-        assert got == dict(expected), part
+    for parts in ("1", "5", "40"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            changes = status_changes(spark.createDataFrame(rows, HISTORY), ["contrato"], "status", ["inserted_at", "id"])
+            got = {(r.de_status, r.para_status): r.mudancas for r in change_counts(changes).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == dict(expected), parts
 
 
 def calendar(spark, first="2026-01-01", last="2026-12-31", bridges=None):
     span = spark.range(1).select(F.lit(first).cast("date").alias("inicio"), F.lit(last).cast("date").alias("fim"))
-    return build_calendar(span, fixed_holidays(spark, 2026, 2027), bridges)
+    return build_calendar(span, None, bridges)
 
 
 def test_calendar_marks_fridays_saturdays_and_eves(spark):
@@ -69,6 +72,21 @@ def test_calendar_marks_fridays_saturdays_and_eves(spark):
     assert days[date(2026, 3, 4)].ano_mes == "2026-03" and days[date(2026, 3, 4)].dia_numero == 4
 
 
+def test_holidays_hold_in_every_year(spark):
+    days = {r.data: r for r in calendar(spark, "2031-12-30", "2045-12-31").collect()}
+    for year in range(2032, 2046):
+        assert days[date(year, 4, 21)].nome_feriado == "Tiradentes" and days[date(year, 4, 20)].dia_critico
+    assert days[date(2031, 12, 31)].dia_critico
+
+
+def test_listed_holidays_replace_the_fixed_ones(spark):
+    span = spark.range(1).select(F.lit("2026-04-01").cast("date").alias("inicio"), F.lit("2026-04-30").cast("date").alias("fim"))
+    listed = spark.createDataFrame([(date(2026, 4, 8), "Local", "SP"), (date(2026, 4, 8), "Local", "SP")], "data date, nome_feriado string, uf_feriado string")
+    days = {r.data: r for r in build_calendar(span, listed).collect()}
+    assert len(days) == 30 and not days[date(2026, 4, 21)].feriado
+    assert (days[date(2026, 4, 8)].nome_feriado, days[date(2026, 4, 8)].uf_feriado, days[date(2026, 4, 7)].dia_critico) == ("Local", "SP", True)
+
+
 def test_calendar_takes_bridge_days(spark):
     bridges = spark.createDataFrame([(date(2026, 4, 22),), (date(2026, 4, 22),)], "data date")
     days = {r.data: r.dia_critico for r in calendar(spark, bridges=bridges).collect()}
