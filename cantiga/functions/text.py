@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -14,12 +15,6 @@ _HANGUL = range(0xAC00, 0xD7A4)
 _SURROGATES = range(0xD800, 0xE000)
 
 
-def fold(text: str) -> str:
-    """Folding of one word on the driver, for keyword lists."""
-    decomposed = unicodedata.normalize("NFKD", text.lower())
-    return "".join(c for c in decomposed if not unicodedata.combining(c))
-
-
 @lru_cache(maxsize=1)
 def _folding_rules() -> tuple[str, str, dict[str, str]]:
     """(characters, their replacements, characters that become several).
@@ -29,7 +24,7 @@ def _folding_rules() -> tuple[str, str, dict[str, str]]:
     syllables stay composed.
     """
     source, target, dropped, several = [], [], [], {}
-    for code in range(0x80, 0x30000):
+    for code in range(0x80, sys.maxunicode + 1):
         if code in _SURROGATES or code in _HANGUL:
             continue
         char = chr(code)
@@ -46,6 +41,18 @@ def _folding_rules() -> tuple[str, str, dict[str, str]]:
     return "".join(source + dropped), "".join(target), several
 
 
+@lru_cache(maxsize=1)
+def _folding_table() -> dict[int, str | None]:
+    source, target, several = _folding_rules()
+    single = dict(zip(map(ord, source), [*target, *[None] * (len(source) - len(target))]))
+    return single | {ord(char): letters for char, letters in several.items()}
+
+
+def fold(text: str) -> str:
+    """Folding of one word on the driver, for keyword lists: the same table as ``fold_text``."""
+    return text.lower().translate(_folding_table())
+
+
 def fold_text(column: Column) -> Column:
     """Lower case, compatibility forms unified, combining marks removed.
 

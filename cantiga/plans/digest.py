@@ -53,7 +53,7 @@ def preview(frame: DataFrame, metrics: Sequence[str], dimensions: Sequence[str])
     order = [_descending(frame, metrics[0]), *[F.col(d).asc_nulls_last() for d in dimensions]]
     meaningful = F.lit(False)
     for m in metrics:
-        meaningful = meaningful | (F.coalesce(F.col(m), F.lit(0)) != 0)
+        meaningful = meaningful | (F.coalesce(F.col(m).try_cast("double"), F.lit(0.0)) != 0)
     return (
         ranked.withColumn("posicao", F.row_number().over(Window.orderBy(*order)))
         .withColumn("__meaningful", meaningful)

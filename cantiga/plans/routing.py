@@ -109,7 +109,7 @@ def _has(tags: Column, tag: str) -> Column:
 def _named(tags: Column, keys: Iterable[str], tag_of: Callable[[str], str]) -> Column:
     """The keys whose tag is there, in their own order."""
     there = F.array_intersect(word_list(tag_of(key) for key in keys), tags)
-    return F.transform(there, lambda tag: F.substring(tag, len(tag_of("")) + 1, 100))
+    return F.transform(there, lambda tag: F.substring(tag, F.lit(len(tag_of("")) + 1), F.length(tag)))
 
 
 def infer_source(tags: Column) -> Column:
@@ -251,6 +251,7 @@ def route_questions(
         F.when(is_empty(given_metrics), F.lit(V.NOTE_METRICS)),
         F.when(is_empty(given_dimensions), F.lit(V.NOTE_DIMENSIONS)),
         F.when(no_range, F.lit(V.NOTE_NO_RANGE)),
+        F.when(~no_range & F.col("__dates.start_date").isNull(), F.lit(V.NOTE_OPEN_START)),
         F.when(~no_range & F.array_contains(own, "period"), F.lit(V.NOTE_MONTHS)),
         F.when(chosen != V.DEFAULT_SOURCE, named(V.NOTE_DETAIL)),
     ]

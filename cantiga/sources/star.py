@@ -69,6 +69,8 @@ CATEGORIES = [
 MEDIA = [("F", "Fisico"), ("O", "Digital")]
 CHANNEL_OF_SOURCE = [("A", "Assinatura"), ("R", "Radio")]
 
+QUOTED_TITLE = "Sol d'Ouro"
+
 # Columns that order the status rows of a contract; together they tell any two rows apart.
 STATUS_ORDER = ["inserted_at", "id", "l_partkey", "l_suppkey", "valor"]
 
@@ -193,11 +195,12 @@ class StarSchema:
         )
 
     def _part_lookup(self, title: str | None, **columns: str) -> Lookup:
-        """Track attributes by part; every 170th title arrived corrupted."""
+        """Track attributes by part; every 170th title arrived corrupted, and every 190th track is one with a quote."""
         wanted = {alias: F.col(column) for alias, column in columns.items()}
         if title:
             corrupted = F.repeat(F.lit("?"), F.length("p_name"))
-            wanted[title] = F.when(F.col("p_partkey") % 170 == 0, corrupted).otherwise(F.col("p_name"))
+            quoted = F.when(F.col("p_partkey") % 190 == 0, QUOTED_TITLE).otherwise(F.col("p_name"))
+            wanted[title] = F.when(F.col("p_partkey") % 170 == 0, corrupted).otherwise(quoted)
 
         def parts() -> DataFrame:
             return self.read("part").select(

@@ -95,6 +95,7 @@ NOTE_SOURCE = "Fonte inferida a partir da pergunta: '{source}'."
 NOTE_METRICS = "Metricas inferidas a partir da pergunta."
 NOTE_DIMENSIONS = "Dimensoes inferidas a partir da pergunta."
 NOTE_NO_RANGE = "Sem intervalo explicito; a consulta usara todo o historico disponivel."
+NOTE_OPEN_START = "O numero de dias pedido nao cabe no calendario; o inicio do intervalo ficou aberto."
 NOTE_MONTHS = "Dados armazenados em grao mensal (period); o intervalo de datas e truncado para o mes."
 NOTE_DETAIL = (
     "Fonte '{source}' e um detalhe de uma unica plataforma — nao combinar/agregar "

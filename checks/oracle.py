@@ -37,7 +37,7 @@ CTES = {
            CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4)) AS val,
            strftime(l_shipdate, '%Y-%m') AS mes, CAST(l_quantity AS INTEGER) AS qtd,
            'BR' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') AS isrc,
-           CASE WHEN p_partkey % 170 = 0 THEN repeat('?', length(p_name)) ELSE p_name END AS faixa,
+           CASE WHEN p_partkey % 170 = 0 THEN repeat('?', length(p_name)) WHEN p_partkey % 190 = 0 THEN 'Sol d''Ouro' ELSE p_name END AS faixa,
            p_name, p_brand, p_type, s_name
     FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN cust c ON o_custkey = c_custkey
     LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey""",
@@ -120,9 +120,8 @@ CTES = {
     FROM line WHERE r_name <> 'AFRICA'""",
     "fact": """
     SELECT b.*, coalesce(artista_casado, artista_raw) AS artista, matched_artista_id, matched_artista_keyword,
-           (SELECT a.gravadora FROM artists a WHERE a.id = m.matched_artista_id) AS gravadora
-    FROM branches b LEFT JOIN matches m
-      ON b.plataforma_origem = m.plataforma_origem AND b.chave_artista = m.chave_artista""",
+           r.gravadora
+    FROM branches b LEFT JOIN matches m USING (plataforma_origem, chave_artista) LEFT JOIN artists r ON r.id = matched_artista_id""",
     "ledger_rows": """
     SELECT 'user_' || CAST(user_id AS VARCHAR) AS projeto,
            CASE WHEN event_type IN ('purchase', 'signup') THEN 'Contas a receber' ELSE 'Contas a pagar' END AS tipo,

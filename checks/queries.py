@@ -76,8 +76,8 @@ metric("royalties_of_one_origin_any_case", "royalty_performance", ["royalties"],
        "lower(origem) = 'warner music'", filters={"origem": "WARNER music"})
 metric("filter_on_foreign_key_ignored", "royalty_performance", ["royalties"], ["origem"],
        filters={"track": "red gear", "no_such_key": "x"})
-metric("filter_with_quote", "orchard_detail", ["royalties"], ["track"], "lower(artist) = 'o''brien'",
-       filters={"artist": "O'Brien"})
+metric("filter_with_quote", "orchard_detail", ["royalties", "quantity"], ["track", "territory"], "lower(track) = 'sol d''ouro'",
+       filters={"track": "SOL d'ouro"})
 metric("limit_default", "orchard_detail", ["royalties", "quantity"], ["track", "territory"], limit=100)
 metric("limit_zero_gives_one_row", "orchard_detail", ["royalties"], ["period"], limit=0)
 metric("global_totals", "royalty_performance", ["quantity", "royalties"])
@@ -178,8 +178,8 @@ def _(star):
     ),
 )
 def _(star):
-    path = shared_folder(star.spark, "stg_royalty")
     columns = ["periodo", "plataforma_origem", "tipo_remuneracao", "valor_royalties"]
+    path = shared_folder(star.spark, "stg_royalty")
     sinks.write_months(star.royalties.base.select(*columns), path)
     staged = sinks.read_months(star.spark, path)
     return (
@@ -198,12 +198,12 @@ def _(star):
     ),
 )
 def _(star):
-    path = shared_folder(star.spark, "mv_orchard")
     lines = star.orchard.base.select(
         F.col("periodo_relatorio").alias("periodo"), F.col("valor_liquido_moeda_conta").alias("valor")
     )
-    sinks.write_months(lines, path)
     corrected = lines.where(F.col("periodo") >= "1999-01").withColumn("valor", (F.col("valor") * 2).cast("decimal(18,4)"))
+    path = shared_folder(star.spark, "mv_orchard")
+    sinks.write_months(lines, path)
     sinks.write_months(corrected, path)
     return (
         sinks.read_months(star.spark, path)
@@ -223,6 +223,16 @@ def _(star):
     return star.contracts.columns("contrato", "dt_show", "inserted_at", "valor", "valor_liquido", "dia_critico")
 
 
+@register(
+    "contract_rows_as_json",
+    O.with_ctes(
+        "SELECT CAST(to_json({contrato: contrato, dt_show: strftime(dt_show, '%Y-%m-%d'), status: status, dia_critico: dia_critico}) AS VARCHAR) AS linha FROM contracts"
+    ),
+)
+def _(star):
+    return sinks.json_rows(star.contracts.columns("contrato", "dt_show", "status", "dia_critico"))
+
+
 # ---- joins and matching --------------------------------------------------------------
 
 
@@ -340,22 +350,23 @@ def _(star):
     return build_calendar(span)
 
 
-def _quality_sql(extra: str = "") -> str:
+def _quality_sql(of: str = "TRUE") -> str:
     return O.with_ctes(
-        f"""SELECT artista, total_shows, shows_dia_critico, {O.percent_sql('shows_dia_critico', 'total_shows')} AS pct_dia_critico
-            FROM (SELECT artista, count(*) AS total_shows, count(*) FILTER (WHERE dia_critico) AS shows_dia_critico
-                  FROM contracts WHERE status = 'CONFIRMADO' AND dia_critico IS NOT NULL {extra} GROUP BY artista)"""
+        f"""SELECT artista, CAST(sum(1) AS BIGINT) AS total_shows, CAST(sum(critico) AS BIGINT) AS shows_dia_critico,
+                   {O.percent_sql('sum(critico)', 'sum(1)')} AS pct_dia_critico
+            FROM (SELECT artista, CAST(dia_critico AS INTEGER) AS critico FROM contracts WHERE status = 'CONFIRMADO' AND {of})
+            WHERE critico IN (0, 1) GROUP BY artista"""
     )
 
 
-def _missed_sql(extra: str = "") -> str:
+def _missed_sql(of: str = "TRUE") -> str:
+    """All pairs of an artist and a critical day of the window, less the booked ones; a null artist is never booked."""
     return O.with_ctes(
-        f"""SELECT a.artista, strftime(f.data, '%Y-%m-%d') AS data_livre
-            FROM (SELECT DISTINCT artista FROM contracts) a
-            CROSS JOIN (SELECT data FROM cal WHERE dia_critico AND data BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + {LOOKAHEAD}) f
-            LEFT JOIN (SELECT artista, dt_show FROM contracts WHERE status = 'CONFIRMADO') b
-              ON b.artista = a.artista AND b.dt_show = f.data
-            WHERE b.dt_show IS NULL {extra}"""
+        f"""SELECT artista, strftime(dia, '%Y-%m-%d') AS data_livre FROM (
+              SELECT artista, unnest((SELECT list(data) FROM cal
+                                      WHERE dia_critico AND datediff('day', DATE '{AS_OF}', data) BETWEEN 0 AND {LOOKAHEAD})) AS dia
+              FROM contracts WHERE {of} GROUP BY artista
+              EXCEPT SELECT artista, dt_show FROM contracts WHERE status = 'CONFIRMADO' AND artista IS NOT NULL)"""
     )
 
 
@@ -367,7 +378,7 @@ def _(star):
     return bookings.booking_quality(star.contracts.columns("artista", "status", "dia_critico"))
 
 
-@register("booking_quality_of_one_artist", _quality_sql(f"AND artista = '{_ONE_ARTIST}'"))
+@register("booking_quality_of_one_artist", _quality_sql(f"artista = '{_ONE_ARTIST}'"))
 def _(star):
     return bookings.booking_quality(star.contracts.columns("artista", "status", "dia_critico"), _ONE_ARTIST)
 
@@ -378,7 +389,7 @@ def _(star):
     return bookings.missed_opportunities(shows, star.calendar, None, LOOKAHEAD, AS_OF)
 
 
-@register("missed_opportunities_of_one_artist", _missed_sql(f"AND a.artista = '{_ONE_ARTIST}'"))
+@register("missed_opportunities_of_one_artist", _missed_sql(f"artista = '{_ONE_ARTIST}'"))
 def _(star):
     shows = star.contracts.columns("artista", "status", "dt_show")
     return bookings.missed_opportunities(shows, star.calendar, _ONE_ARTIST, LOOKAHEAD, AS_OF)
