@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +115,20 @@ def key_uniqueness(frame: DataFrame, keys: Sequence[str], name: str) -> DataFram
     )
 
 
+def keys_uniqueness(frame: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``key_uniqueness`` of several keys in one pass: each row is counted under each of its keys; no rows, no result."""
+    entry = lambda name, columns: F.struct(F.lit(name).alias("chave"), F.struct(*[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)]).alias("v"))
+    width = max(map(len, keys.values()))
+    padded = {name: [*columns, *[columns[0]] * (width - len(columns))] for name, columns in keys.items()}
+    counted = frame.select(F.inline(F.array(*[entry(name, columns) for name, columns in padded.items()]))).groupBy("chave", "v").agg(F.count("*").alias("n"))
+    return counted.groupBy("chave").agg(
+        F.sum("n").alias("linhas"),
+        F.count("*").alias("chaves"),
+        F.count_if(F.col("n") > 1).alias("chaves_repetidas"),
+        F.sum(F.col("n") - 1).alias("linhas_excedentes"),
+    )
+
+
 def as_measures(frame: DataFrame, report: str, labels: Sequence[str] = ()) -> DataFrame:
     """A measure table in long form: report, label, measure, value."""
     numbers = [c for c in frame.columns if c not in labels]

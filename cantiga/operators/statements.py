@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantiga.sources.relation import Relation
+from cantiga.operators.matching import artist_lookup
+from cantiga.sources.relation import Lookup, Relation, left_lookup
 
 # Column lists, in order, and the width of the short creator names.
 SIMPLE_STATEMENT = [
@@ -52,6 +55,28 @@ def show_view(contracts: Relation) -> DataFrame:
     )
 
 
+def universal_lookups(
+    tracks: Callable[[], DataFrame], media: Callable[[], DataFrame], channels: Callable[[], DataFrame], matches: Callable[[], DataFrame]
+) -> tuple[Lookup, ...]:
+    """Track and composer by track code, medium by income group, channel by source, artist by the track's composer."""
+    return (
+        left_lookup(["codigo_musica"], ["titulo_musica", "compositor"], lambda: tracks().withColumnRenamed("titulo_da_musica", "titulo_musica")),
+        left_lookup(["codigo_grupo_renda"], ["media"], media),
+        left_lookup(["codigo_fonte"], ["canal"], channels),
+        artist_lookup(matches, name="artist"),
+    )
+
+
+def build_universal_lines(
+    lines: DataFrame, tracks: DataFrame, media: DataFrame, channels: DataFrame, matches: DataFrame, raw_artist: str = "nome_conta"
+) -> Relation:
+    """Universal statement lines from raw tables, with what other tables know of them."""
+    base = lines.withColumns(
+        {"artista_raw": F.col(raw_artist), "chave_artista": F.col("codigo_musica"), "plataforma_origem": F.lit("Universal")}
+    )
+    return Relation(base, ("public.ft_universal_dados_analiticos",), universal_lookups(lambda: tracks, lambda: media, lambda: channels, lambda: matches))
+
+
 def universal_lines(lines: Relation) -> DataFrame:
     """Universal lines with track, composer, medium, channel and matched artist."""
     return lines.columns(*UNIVERSAL_LINES)

@@ -50,7 +50,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def size_shuffles(spark: SparkSession, *inputs: DataFrame, bytes_per_partition: int = 128 << 20) -> int:
     """Start shuffles with a partition per 128 MB of the inputs' estimated size, never with fewer than now."""
-    size = sum(int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for frame in inputs)
+    size = sum(int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for frame in inputs)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     now = int(spark.conf.get(key, spark.conf.get("spark.sql.shuffle.partitions")))
     count = max(now, -(-size // bytes_per_partition))

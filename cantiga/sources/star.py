@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from cantiga.functions.money import money
 from cantiga.functions.months import month_of
 from cantiga.operators.calendar import build_calendar, calendar_lookup
-from cantiga.operators.latest import latest_per_key
+from cantiga.operators.contracts import latest_contracts, net_value
 from cantiga.operators.ledger import active_ledger
 from cantiga.operators.matching import artist_lookup, artist_matches
-from cantiga.operators.unify import BRANCH_COLUMNS, show_branch, unify
-from cantiga.sources.registry import PHYSICAL_TABLES, Registry, channel_lookup, gravadora_lookup
+from cantiga.operators.statements import universal_lookups
+from cantiga.operators.unify import BRANCH_COLUMNS, STATEMENTS, branch_of, royalty_relation, show_branch
+from cantiga.sources.registry import PHYSICAL_TABLES, Registry, channel_lookup
 from cantiga.sources.relation import Lookup, Relation, constant_table, left_lookup
 
 CALENDAR_SPAN = ("1998-01-01", "1999-12-31")
@@ -33,12 +34,7 @@ PLATFORM_OF_REGION = {
     "MIDDLE EAST": "Warner Music",
 }
 REGION_OF_PLATFORM = {platform: region for region, platform in PLATFORM_OF_REGION.items()}
-LINEAGE = {
-    "Orchard": "ft_orchard_dados_analiticos",
-    "Universal": "ft_universal_dados_analiticos",
-    "Warner Chappell": "stg_warner_statement",
-    "Warner Music": "ft_warner_music_dados_analiticos",
-}
+LINEAGE = {statement.platform: statement.table for statement in STATEMENTS}
 STATUS = {"R": "CONFIRMADO", "N": "FINANCEIRO/AGUARDAR", "A": "CANCELADO/REMARCAR"}
 ROYALTY_TYPE = {"A": "Editora", "N": "Gravadora", "R": "Publicidade"}
 
@@ -248,19 +244,13 @@ class StarSchema:
             F.col("__value").alias("royalties_a_pagar"),
         )
         lookups = (
-            left_lookup(
-                ["codigo_musica"],
-                ["titulo_musica", "compositor"],
-                lambda: self.tracks.withColumnRenamed("titulo_da_musica", "titulo_musica"),
-            ),
             self._part_lookup(None, plataforma="p_type"),
-            left_lookup(
-                ["codigo_grupo_renda"], ["media"], lambda: self._inline(MEDIA, "codigo_grupo_renda string, media string")
+            *universal_lookups(
+                lambda: self.tracks,
+                lambda: self._inline(MEDIA, "codigo_grupo_renda string, media string"),
+                lambda: self._inline(CHANNEL_OF_SOURCE, "codigo_fonte string, canal string"),
+                lambda: self.matches,
             ),
-            left_lookup(
-                ["codigo_fonte"], ["canal"], lambda: self._inline(CHANNEL_OF_SOURCE, "codigo_fonte string, canal string")
-            ),
-            artist_lookup(lambda: self.matches, name="artist"),
         )
         return Relation(base, ("public.ft_universal_dados_analiticos",), lookups, (("data_extrato", "l_shipdate"),))
 
@@ -382,14 +372,14 @@ class StarSchema:
             F.col("l_linestatus").alias("tag"),
             value.alias("valor"),
             open_value.alias("falta_receber"),
-            (value - open_value).cast("decimal(18,4)").alias("valor_liquido"),
+            net_value(price, price * F.col("l_discount")).alias("valor_liquido"),
             "l_partkey",
             "l_suppkey",
         )
 
     @cached_property
     def latest_rows(self) -> DataFrame:
-        return latest_per_key(self.status_rows, ["contrato"], STATUS_ORDER)
+        return latest_contracts(self.status_rows, STATUS_ORDER)
 
     @cached_property
     def contracts(self) -> Relation:
@@ -434,33 +424,36 @@ class StarSchema:
         origin = _choose(F.col("r_name"), PLATFORM_OF_REGION)
         raw = F.when(origin == "Warner Music", F.upper("c_name")).otherwise(F.col("c_name"))
         key = F.when(origin == "Universal", F.col("l_partkey").cast("string")).otherwise(raw)
-        return self.lines(*[REGION_OF_PLATFORM[p] for p in LINEAGE]).select(
-            F.col("__month").alias("periodo"),
-            raw.alias("artista_raw"),
-            key.alias("chave_artista"),
-            origin.alias("plataforma_origem"),
-            _choose(F.col("l_returnflag"), ROYALTY_TYPE).alias("tipo_remuneracao"),
-            money(F.col("l_quantity")).alias("quantidade"),
-            F.col("__value").alias("valor_royalties"),
-            _choose(origin, LINEAGE).alias("tabela_origem"),
-            F.col("c_mktsegment").alias("razao_social"),
+        return branch_of(
+            self.lines(*[REGION_OF_PLATFORM[p] for p in LINEAGE]),
+            platform=origin,
+            table=_choose(origin, LINEAGE),
+            month=F.col("__month"),
+            artist=raw,
+            key=key,
+            kind=_choose(F.col("l_returnflag"), ROYALTY_TYPE),
+            units=F.col("l_quantity"),
+            value=F.col("__value"),
+            company=F.col("c_mktsegment"),
+            day=F.col("l_shipdate"),
         )
 
     @cached_property
     def show_lines(self) -> DataFrame:
-        wanted = ["artista", "dt_show", "status", "valor_liquido", "razao_social"]
-        shows = self.contracts.columns(*wanted, "regiao").where(F.col("regiao") == REGION_OF_PLATFORM["DSU"])
-        return show_branch(shows).select(*BRANCH_COLUMNS)
+        """Shows of the region's customers; joined so that a range of days reaches the scan of the orders."""
+        customers = self.customers.where(F.col("r_name") == REGION_OF_PLATFORM["DSU"])
+        orders = self.read("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("o_orderkey").alias("contrato"),
+            F.col("o_orderdate").cast("date").alias("dt_show"),
+            self._show_artist().alias("artista"),
+            F.col("c_mktsegment").alias("razao_social"),
+            "o_orderdate",
+        )
+        return show_branch(self.latest_rows.join(orders, "contrato"), "o_orderdate").select(*BRANCH_COLUMNS)
 
     @cached_property
     def royalties(self) -> Relation:
-        lookups = (
-            artist_lookup(lambda: self.matches),
-            gravadora_lookup(lambda: self.artists),
-        )
-        return Relation(
-            unify(self.show_lines, self.statement_branch), ("public.vw_ft_dados_analiticos_union",), lookups
-        )
+        return royalty_relation([self.show_lines, self.statement_branch], lambda: self.matches, lambda: self.artists)
 
     # ---- registry ---------------------------------------------------------
 

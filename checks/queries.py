@@ -623,6 +623,7 @@ _REPORT = {
     "chaves": ("key_uniqueness", ["chave"]),
     "deriva_categoria": ("category_drift", ["tipo", "grupo", "categoria"]),
     "contagem_dupla": ("over_count_by_status", ["status"]),
+    "preenchimento": ("artist_register_fill_rates", ["tabela", "coluna"]),
 }
 
 
@@ -634,7 +635,7 @@ def _report_sql() -> str:
         parts.append(
             f"""SELECT '{name}' AS relatorio, item, medida, valor FROM (UNPIVOT (
                   SELECT {item} AS item, CAST(COLUMNS(* EXCLUDE ({', '.join(labels) or 'nothing_'})) AS DOUBLE)
-                  FROM (SELECT *{"" if labels else ", 0 AS nothing_"} FROM ({ORACLE[query]}))
+                  FROM (SELECT *{" EXCLUDE (tipo)" if query == "artist_register_fill_rates" else ""}{"" if labels else ", 0 AS nothing_"} FROM ({ORACLE[query]}))
                 ) ON COLUMNS(* EXCLUDE (item)) INTO NAME medida VALUE valor)"""
         )
     return "\nUNION ALL ".join(parts)
@@ -643,8 +644,7 @@ def _report_sql() -> str:
 @register("quality_report", _report_sql())
 def _(star):
     keys = (
-        quality.key_uniqueness(star.chappell.base, ["source_file", "line_number"], "source_file+line_number")
-        .unionByName(quality.key_uniqueness(star.chappell.base, ["row_hash"], "row_hash"))
+        quality.keys_uniqueness(star.chappell.base, {"source_file+line_number": ["source_file", "line_number"], "row_hash": ["row_hash"]})
         .unionByName(quality.key_uniqueness(star.status_rows, ["contrato"], "contrato"))
     )
     channels = quality.key_coverage(star.chappell, ["income_provider_name", "exploitation_source"], "descricao_canal")
@@ -655,6 +655,7 @@ def _(star):
         chaves=(keys, ["chave"]),
         deriva_categoria=(ledger.category_drift(star.ledger_entries, star.categories), ["tipo", "grupo", "categoria"]),
         contagem_dupla=(quality.over_count(star.status_rows, star.latest_rows, "valor_liquido"), ["status"]),
+        preenchimento=(quality.fill_rates(star.artists, "dim_artistas").drop("tipo"), ["tabela", "coluna"]),
     )
 
 

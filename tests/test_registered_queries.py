@@ -67,3 +67,19 @@ def test_queries_are_right_without_broadcasts(spark, connection):
 def test_month_range_reaches_the_scan(spark):
     plan = queries()["range_end_only"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(l_shipdate,1996-01-01" in plan
+
+
+def test_month_range_reaches_the_scans_of_the_default_source(spark):
+    plan = queries()["royalties_by_artist_period"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    for day in ("l_shipdate", "o_orderdate"):
+        assert re.search(rf"FileScan parquet .*DataFilters: \[.*\({day}#\d+ >= 1997-03-01 00:00:00\), \({day}#\d+ < 1998-11-01", plan)
+
+
+def test_constant_tables_are_not_shuffled_for(spark):
+    plan = queries()["ledger_revenue_cost"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(grupo" not in plan
+
+
+def test_the_register_is_read_a_few_times(spark):
+    plan = queries()["artist_matches"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("customer.parquet") <= 5
