@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,26 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantiga.session import shared_folder
+from cantiga.session import remove_folder, shared_folder
 
 #: A word, for every operator of this package.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LEFT: list[tuple[SparkSession, str]] = []
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_left() -> None:
-    for spark, path in _LEFT:
-        if spark.sparkContext._jsc is not None:
-            _remove(spark, path)
-
 
 class Stored:
     """Tables written below the shared folder, to cut lineage.
@@ -42,12 +26,10 @@ class Stored:
 
     def __init__(self, spark: SparkSession, name: str):
         self._spark, self._base, self._at = spark, shared_folder(spark, name), {}
-        _LEFT.append((spark, self._base))
 
-    def keep(self, frame: DataFrame, by: str | None = None) -> DataFrame:
+    def keep(self, frame: DataFrame) -> DataFrame:
         path = f"{self._base}/{uuid.uuid4().hex[:8]}"
-        writer = frame.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         read = self._spark.read.schema(frame.schema).parquet(path)
         self._at[id(read)] = (read, path)
         return read
@@ -55,7 +37,7 @@ class Stored:
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             _, path = self._at.pop(id(frame))
-            _remove(self._spark, path)
+            remove_folder(self._spark, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of the longest context.
@@ -210,11 +210,9 @@ def identify(documents: DataFrame, trees: Trees | None, keep: list[str] | None =
     A text that is null or has no letter is ``und`` with score 0, as is every text
     without trees.  The score is the language's share of the likelihoods; ties
     go to the first language in text order.  Repeated rows each get their row;
-    an empty table gives no rows.
+    an empty table gives no rows; a kept column named like a result gives way.
     """
-    keep = ["doc_id", *(keep or [])]
-    if clash := {c.lower() for c in keep} & {"lang_pred", "score"}:
-        raise ValueError(f"columns clash with results: {sorted(clash)}")
+    keep = ["doc_id", *[c for c in keep or [] if c.lower() not in ("lang_pred", "score", "doc_id")]]
     shared = documents.sparkSession.sparkContext.broadcast(trees)  # bounded by the texts that were fitted on
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

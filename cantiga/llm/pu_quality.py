@@ -157,11 +157,10 @@ def score_quality(documents: DataFrame, labels: DataFrame, learns: Column, setti
     whose labels disagree are not trusted.  Rows where ``learns`` is false take
     no part in the fit.  Null and empty texts are scored as texts without
     words; without positives every score is 0.5; repeated rows each get their
-    score; an empty table gives no rows.  ``keep`` names further columns.
+    score; an empty table gives no rows.  ``keep`` names further columns; one
+    named like a count or the score gives way.
     """
-    keep = ["doc_id", *(keep or [])]
-    if clash := {c.lower() for c in keep} & {*COUNTS, "score"}:
-        raise ValueError(f"columns clash with counts: {sorted(clash)}")
+    keep = ["doc_id", *[c for c in keep or [] if c.lower() not in (*COUNTS, "score", "doc_id")]]
     counted = Stored(documents.sparkSession, "pu").keep(with_counts(documents, keep))
     positive = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality") == 1)
     model = fit(counted.where(learns), positive, settings)

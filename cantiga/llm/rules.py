@@ -168,11 +168,10 @@ def judge(documents: DataFrame, labels: DataFrame, settings: ListSettings = List
     Base rules come first: fewer than 10 words, or more than a fifth of the words
     in repeated windows.  A null or empty text has no words and fails them.
     Repeated rows each get their row; an empty table gives no rows.  ``keep``
-    names further columns to return; such that clash with a count are refused.
+    names further columns to return; one named like a count or a verdict gives
+    way to it.
     """
-    keep = ["doc_id", *(keep or [])]
-    if clash := {c.lower() for c in keep} & {*COUNTS, "base_failed", "kept"}:
-        raise ValueError(f"columns clash with counts: {sorted(clash)}")
+    keep = ["doc_id", *[c for c in keep or [] if c.lower() not in (*COUNTS, "base_failed", "kept", "doc_id")]]
     counted = Stored(documents.sparkSession, "rules").keep(with_counts(documents, keep))
     rules = fit(counted, labels, settings)
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

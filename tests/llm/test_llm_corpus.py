@@ -38,8 +38,7 @@ def naive_links(texts, threshold=0.8):
             if common and common / (len(sets[i]) + len(sets[j]) - common) >= threshold:
                 links[i] += 1
                 links[j] += 1
-                a, b = (next(r for r in [x] if True) for x in (root[i], root[j]))
-                low, high = min(a, b), max(a, b)
+                low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     return [links[i] for i in range(len(sets))], root
 
