@@ -54,6 +54,21 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))
 
 
+def per_text(documents: DataFrame, keep: list[str], adds: dict[str, str], each: Callable[[pa.Array], list[pa.Array]], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and the columns ``adds`` (name: type) that ``each`` makes of the texts of a batch."""
+    kept = documents.select(*[F.col(f"`{c}`") for c in keep]).schema
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{name} {kind}" for name, kind in adds.items()]])
+    # The text goes over once, also where it is kept.
+    others = [c for c in keep if c != text]
+    places = [0 if c == text else 1 + others.index(c) for c in keep]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], *each(batch.column(0))], names=[*keep, *adds])
+
+    return documents.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in others]).mapInArrow(walk, schema)
+
+
 def grouped_pass(frame: DataFrame, group: str, each: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``each`` on the rows of each group, for very many small groups.
 

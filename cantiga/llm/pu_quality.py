@@ -11,7 +11,6 @@ No negative label is read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantiga.llm.common import Stored
-from cantiga.llm.text_stats import COUNTS, shares, with_counts
+from cantiga.llm.common import per_text
+from cantiga.llm.text_stats import COUNTS, counts, shares, with_counts
 
 
 @dataclass(frozen=True)
@@ -121,33 +120,33 @@ def learn(positive: dict[str, np.ndarray], unlabelled: dict[str, np.ndarray], se
     return Model(edges, weights, bias, prior)
 
 
-def fit(counted: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings()) -> Model | None:
-    """Fit on rows with counts; ``labels`` has the trusted positives (``doc_id``).  None without any."""
-    trusted = counted.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id")
+def fit(documents: DataFrame, trusted: DataFrame, settings: PuSettings = PuSettings()) -> Model | None:
+    """Fit on ``documents`` (``doc_id``, ``text``); ``trusted`` has the ids of positives.  None without any."""
+    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    texts = documents.select("doc_id", "text")
 
-    def sample(rows: DataFrame, most: int, salt: str) -> dict[str, np.ndarray] | None:
-        n = rows.count()
-        share = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20))
-        found = rows.where(share < int((1 << 20) * min(1.0, most / max(1, n)))).select(*COUNTS).toPandas().sort_values(list(COUNTS), kind="stable")
+    def sample(n: int, most: int, salt: str, of: DataFrame | None) -> dict[str, np.ndarray] | None:
+        # Drawn before texts are joined or counted.
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(1, n)))
+        rows = texts.where(drawn) if of is None else texts.where(drawn).join(of.where(drawn), "doc_id")
+        found = with_counts(rows, []).toPandas().sort_values(list(COUNTS), kind="stable")
         return shares({c: found[c].to_numpy() for c in COUNTS}) if len(found) else None
 
-    positive, unlabelled = sample(trusted, settings.positive_rows, "positive"), sample(counted, settings.unlabelled_rows, "unlabelled")
+    positive = sample(texts.select("doc_id").join(ids, "doc_id").count(), settings.positive_rows, "positive", ids)
+    unlabelled = sample(texts.count(), settings.unlabelled_rows, "unlabelled", None)
     return learn(positive, unlabelled, settings) if positive and unlabelled else None
 
 
-def scored(counted: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` and the score of every row with counts; 0.5 without a model."""
+def scored(documents: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """``keep`` and the score of every row's ``text``; 0.5 without a model.  Counts and scores are one pass."""
     if model is None:
-        return counted.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.5).alias("score"))
+        return documents.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.5).alias("score"))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            values = shares({c: batch.column(i).to_numpy() for i, c in enumerate(COUNTS)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[len(COUNTS) :], pa.array(model.score(values))], names=[*batch.schema.names[len(COUNTS) :], "score"])
+    def score(texts: pa.Array) -> pa.Array:
+        found = np.array([counts(x.as_py()) for x in texts], np.int64).reshape(-1, len(COUNTS))
+        return pa.array(model.score(shares({c: found[:, i] for i, c in enumerate(COUNTS)})))
 
-    kept = counted.select(*[F.col(f"`{c}`") for c in keep])
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields) + "score double"
-    return counted.select(*COUNTS, *[F.col(f"`{c}`") for c in keep]).mapInArrow(each, schema)
+    return per_text(documents, keep, {"score": "double"}, lambda texts: [score(texts)])
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, learns: Column, settings: PuSettings = PuSettings(), keep: list[str] | None = None) -> tuple[DataFrame, Model | None]:
@@ -161,7 +160,6 @@ def score_quality(documents: DataFrame, labels: DataFrame, learns: Column, setti
     named like a count or the score gives way.
     """
     keep = ["doc_id", *[c for c in keep or [] if c.lower() not in (*COUNTS, "score", "doc_id")]]
-    counted = Stored(documents.sparkSession, "pu").keep(with_counts(documents, keep))
     positive = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality") == 1)
-    model = fit(counted.where(learns), positive, settings)
-    return scored(counted, model, keep), model
+    model = fit(documents.where(learns), positive, settings)
+    return scored(documents, model, keep), model

@@ -16,7 +16,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantiga.llm.common import Stored
 from cantiga.llm.text_stats import COUNTS, SHARES, shares, with_counts
 
 
@@ -141,23 +140,24 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def fit(counted: DataFrame, labels: DataFrame, settings: ListSettings = ListSettings()) -> list[Rule]:
-    """Learn from ``labels`` (``doc_id``, ``quality``; 0 is bad) of rows with counts.
+def fit(documents: DataFrame, labels: DataFrame, settings: ListSettings = ListSettings()) -> list[Rule]:
+    """Learn from ``documents`` (``doc_id``, ``text``) that have ``labels`` (``doc_id``, ``quality``; 0 is bad).
 
     An id labelled more than once counts with its lowest label; null ids and
     labels do not count.  Without labels of both kinds the list is empty.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = counted.join(known, "doc_id")
-    n = labelled.count()
+    n = documents.select("doc_id").join(known, "doc_id").count()
     if not n:
         return []
+    # The sample is drawn before texts are joined or counted.
     share = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20))
-    sample = labelled.where(share < int((1 << 20) * min(1.0, settings.fit_rows / n))).select(
-        *COUNTS, "quality", (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prunes")
-    )
+    drawn = share < int((1 << 20) * min(1.0, settings.fit_rows / n))
+    sample = documents.select("doc_id", "text").where(drawn).join(known.where(drawn), "doc_id")
+    prunes = F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0
+    counted = with_counts(sample.withColumn("prunes", prunes), ["quality", "prunes"])
     # The order of the rows decides nothing but ties of sums; it is fixed all the same.
-    rows = sample.toPandas().sort_values([*COUNTS, "quality", "prunes"], kind="stable")
+    rows = counted.toPandas().sort_values([*COUNTS, "quality", "prunes"], kind="stable")
     values = shares({c: rows[c].to_numpy() for c in COUNTS})
     return learn(values, rows["quality"].to_numpy() == 0, rows["prunes"].to_numpy(bool), settings)
 
@@ -172,7 +172,7 @@ def judge(documents: DataFrame, labels: DataFrame, settings: ListSettings = List
     way to it.
     """
     keep = ["doc_id", *[c for c in keep or [] if c.lower() not in (*COUNTS, "base_failed", "kept", "doc_id")]]
-    counted = Stored(documents.sparkSession, "rules").keep(with_counts(documents, keep))
-    rules = fit(counted, labels, settings)
+    rules = fit(documents, labels, settings)
+    counted = with_counts(documents, keep)
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select("*", base_failed.alias("base_failed"), (~base_failed & verdict(rules)).alias("kept")), rules

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cantiga.llm.common import WORD
+from cantiga.llm.common import WORD, per_text
 
 #: Words of a window whose repetition is counted.
 WINDOW = 5
@@ -96,18 +94,12 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``documents`` and the counts of each text."""
-    kept = documents.select(*[F.col(f"`{c}`") for c in keep]).schema
-    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.fields) + ", ".join(f"{c} long" for c in COUNTS)
-    # The text goes over once, also where it is kept.
-    others = [c for c in keep if c != text]
-    places = [0 if c == text else 1 + others.index(c) for c in keep]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([counts(x.as_py()) for x in batch.column(0)], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], *[pa.array(found[:, i]) for i in range(len(COUNTS))]], names=[*keep, *COUNTS])
-
-    return documents.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in others]).mapInArrow(each, out)
+
+    def each(texts: pa.Array) -> list[pa.Array]:
+        found = np.array([counts(x.as_py()) for x in texts], np.int64).reshape(-1, len(COUNTS))
+        return [pa.array(found[:, i]) for i in range(len(COUNTS))]
+
+    return per_text(documents, keep, dict.fromkeys(COUNTS, "long"), each, text)
 
 
 def shares(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
