@@ -16,10 +16,14 @@ def month_of(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
+def first_day(month: Column) -> Column:
+    """The date a ``yyyy-MM`` text begins with; null for text that is no month."""
+    return F.try_to_date(F.concat(month, F.lit("-01")), "yyyy-MM-dd")
+
+
 def add_months_text(month: Column, n: int) -> Column:
     """Shift a ``yyyy-MM`` text by ``n`` months; text that is no month gives null."""
-    first_day = F.try_to_date(F.concat(month, F.lit("-01")), "yyyy-MM-dd")
-    return month_of(F.add_months(first_day, n))
+    return month_of(F.add_months(first_day(month), n))
 
 
 def receipt_month(month: Column, origin: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantiga.functions.money import money
-from cantiga.functions.months import receipt_month
+from cantiga.functions.months import first_day, receipt_month
 from cantiga.operators.matching import artist_lookup, artist_matches
 from cantiga.sources.registry import gravadora_lookup
 from cantiga.sources.relation import Relation
@@ -126,7 +126,7 @@ def statement_branch(lines: DataFrame, of: StatementTable, day: str | None = Non
         units=F.col(of.units),
         value=F.col(of.value),
         company=F.col("razao_social") if "razao_social" in has else F.lit(None).cast("string"),
-        day=F.col(day) if day else F.try_to_date(F.concat(F.col(of.period), F.lit("-01")), "yyyy-MM-dd"),
+        day=F.col(day) if day else first_day(F.col(of.period)),
     )
 
 
@@ -134,8 +134,10 @@ def unify(*branches: DataFrame) -> DataFrame:
     """All branches below each other with their expected receipt month.
 
     Rows are neither merged nor dropped: two equal statement lines are two lines.
+    In a branch without ``dia`` the first day of the month stands in.
     """
-    stacked = reduce(lambda a, b: a.unionByName(b), [b.select(*BRANCH_COLUMNS) for b in branches])
+    dated = [b if "dia" in b.columns else b.withColumn("dia", first_day(F.col("periodo"))) for b in branches]
+    stacked = reduce(lambda a, b: a.unionByName(b), [b.select(*BRANCH_COLUMNS) for b in dated])
     return stacked.withColumn("periodo_receita", receipt_month(F.col("periodo"), F.col("plataforma_origem")))
 
 

@@ -70,9 +70,13 @@ def test_month_range_reaches_the_scan(spark):
 
 
 def test_month_range_reaches_the_scans_of_the_default_source(spark):
-    plan = queries()["royalties_by_artist_period"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = queries()["royalties_by_artist_period"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     for day in ("l_shipdate", "o_orderdate"):
-        assert re.search(rf"FileScan parquet .*DataFilters: \[.*\({day}#\d+ >= 1997-03-01 00:00:00\), \({day}#\d+ < 1998-11-01", plan)
+        assert f"GreaterThanOrEqual({day},1997-03-01" in plan and f"LessThan({day},1998-11-01" in plan
 
 
 def test_constant_tables_are_not_shuffled_for(spark):
