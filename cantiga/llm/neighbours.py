@@ -109,13 +109,21 @@ def _nearest(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) ->
     return owner[keep], other[keep], score[keep]
 
 
-def _as_lists(ids: np.ndarray, owner: np.ndarray, other: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    some = owner[np.r_[0, cuts]] if len(owner) else owner
-    return pd.DataFrame({"node": ids[some], "nodes": np.split(other, cuts) if len(owner) else [], "scores": np.split(score.astype(np.float32), cuts) if len(owner) else []})
+_OFFERS = "cell string, nodes array<long>, others array<long>, scores array<float>"
 
 
-_LISTS = "node long, nodes array<long>, scores array<float>"
+def _offers(cells: np.ndarray, node: np.ndarray, other: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    """Offers of neighbours, a row for each cell that their receivers lie in."""
+    order = np.argsort(cells, kind="stable")
+    cuts = np.flatnonzero(cells[order][1:] != cells[order][:-1]) + 1
+    rows = np.split(order, cuts) if len(order) else []
+    return pd.DataFrame(
+        {"cell": [cells[r[0]] for r in rows], "nodes": [node[r] for r in rows], "others": [other[r] for r in rows], "scores": [score[r].astype(np.float32) for r in rows]},
+        columns=["cell", "nodes", "others", "scores"],
+    )
+
+
+_GRAPH = "cell string, node long, nodes array<long>, scores array<float>, changed long"
 
 
 def _compare(members: np.ndarray, x: np.ndarray, ids: np.ndarray, floor: np.ndarray, offers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,38 +137,50 @@ def _compare(members: np.ndarray, x: np.ndarray, ids: np.ndarray, floor: np.ndar
     return np.broadcast_to(members[:, None], score.shape)[better], ids[members[best[better]]], score[better]
 
 
-def _first_lists(placed: DataFrame, kind: str, s: GraphSettings) -> DataFrame:
+def _first_offers(placed: DataFrame, kind: str, s: GraphSettings) -> DataFrame:
     k = s.k
 
     def each(leaf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = leaf["node"].to_numpy(), _matrix(leaf["vector"], kind).astype(np.float32)
+        ids, cells, x = leaf["node"].to_numpy(), leaf["cell"].to_numpy(), _matrix(leaf["vector"], kind).astype(np.float32)
         if len(ids) < 2:
-            return _as_lists(ids, *[np.zeros(0, int)] * 2, np.zeros(0))
-        found = _compare(np.arange(len(ids)), x, ids, np.full(len(ids), -np.inf), k)
-        return _as_lists(ids, *_nearest(*found, k))
+            return _offers(cells[:0], ids[:0], ids[:0], np.zeros(0))
+        owner, other, score = _compare(np.arange(len(ids)), x, ids, np.full(len(ids), -np.inf), k)
+        return _offers(cells[owner], ids[owner], other, score)
 
-    return placed.groupBy("leaf").applyInPandas(each, _LISTS)
+    return placed.groupBy("leaf").applyInPandas(each, _OFFERS)
 
 
 def _merged(graph: DataFrame | None, offers: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each point's list and what it was offered; ``changed`` counts the new ones."""
+    """The k nearest of each point's list and what it was offered; ``changed`` sums up to the new ones."""
     rows = offers.withColumn("old", F.lit(False))
     if graph is not None:
-        rows = rows.unionByName(graph.select("node", "nodes", "scores", F.lit(True).alias("old")))
-
-    def each(of_node: pa.Table) -> Iterable[pa.RecordBatch]:
-        node = of_node.column("node")[0].as_py()
-        lists, scores = of_node.column("nodes"), of_node.column("scores")
-        other, score = (np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in c]) for c in (lists, scores))
-        _, other, score = _nearest(np.zeros(len(other), int), other, score, k)
-        had = [x.values.to_numpy(zero_copy_only=False) for x, old in zip(lists, of_node.column("old")) if old.as_py()]
-        changed = len(other) - int(np.isin(other, had[0]).sum()) if had else len(other)
+        same = F.array_repeat("node", F.size("nodes"))
+        rows = rows.unionByName(graph.select("cell", same.alias("nodes"), F.col("nodes").alias("others"), "scores", F.lit(True).alias("old")))
+    pair = np.dtype([("node", "<i8"), ("other", "<i8")])
+
+    def pairs(node: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.stack([node, other], axis=1).astype("<i8")).view(pair).ravel()
+
+    def each(of_cell: pa.Table) -> Iterable[pa.RecordBatch]:
+        columns = {c: [x.values.to_numpy(zero_copy_only=False) for x in of_cell.column(c)] for c in ("nodes", "others", "scores")}
+        old = of_cell.column("old").to_pylist()
+        node, other, score = _nearest(*[np.concatenate(columns[c]) for c in ("nodes", "others", "scores")], k)
+        known = [pairs(n, o) for n, o, is_old in zip(columns["nodes"], columns["others"], old) if is_old]
+        kept = len(np.intersect1d(pairs(node, other), np.concatenate(known), assume_unique=True)) if known else 0
+        cuts = np.flatnonzero(np.diff(node)) + 1
+        some = node[np.r_[0, cuts]] if len(node) else node
         yield pa.RecordBatch.from_arrays(
-            [pa.array([node], pa.int64()), pa.array([other], pa.list_(pa.int64())), pa.array([score], pa.list_(pa.float32())), pa.array([changed], pa.int64())],
-            names=["node", "nodes", "scores", "changed"],
+            [
+                pa.array([of_cell.column("cell")[0].as_py()] * len(some), pa.string()),
+                pa.array(some, pa.int64()),
+                pa.array(np.split(other, cuts) if len(some) else [], pa.list_(pa.int64())),
+                pa.array(np.split(score, cuts) if len(some) else [], pa.list_(pa.float32())),
+                pa.array([len(node) - kept if i == 0 else 0 for i in range(len(some))], pa.int64()),
+            ],
+            names=["cell", "node", "nodes", "scores", "changed"],
         )
 
-    return grouped_pass(rows, "node", each, _LISTS + ", changed long")
+    return grouped_pass(rows, "cell", each, _GRAPH)
 
 
 def _members(graph: DataFrame, k: int) -> DataFrame:
@@ -170,18 +190,18 @@ def _members(graph: DataFrame, k: int) -> DataFrame:
     part = F.pmod(F.xxhash64("from"), F.coalesce("parts", F.lit(1)))
     reverse = edges.join(crowded, "center", "left").groupBy("center", part.alias("part")).agg(F.collect_list("from").alias("others"))
     joined = graph.join(reverse.withColumnRenamed("center", "node"), "node", "left")
-    return joined.select("node", F.array_distinct(F.concat("nodes", F.coalesce("others", F.array().cast("array<long>")), F.array("node"))).alias("members"))
+    return joined.select("cell", "node", F.array_distinct(F.concat("nodes", F.coalesce("others", F.array().cast("array<long>")), F.array("node"))).alias("members"))
 
 
 def _with_vectors(needs: DataFrame, points: DataFrame, floors: DataFrame | None) -> DataFrame:
     """The vectors of the nodes that each cell needs, once per cell."""
-    rows = needs.select(F.col("cell").alias("at"), F.col("node")).distinct().join(points.select("node", "vector"), "node")
+    rows = needs.select(F.col("cell").alias("at"), F.col("node")).distinct().join(points.select("node", "vector", F.col("cell").alias("home")), "node")
     return rows if floors is None else rows.join(floors, "node")
 
 
 def _descend(stored: Stored, graph: DataFrame, points: DataFrame, kind: str, s: GraphSettings) -> DataFrame:
     """One round: members of each list are compared among themselves."""
-    lists = stored.keep(_members(graph, s.k).join(points.select("node", "cell"), "node"))
+    lists = stored.keep(_members(graph, s.k))
     floor = F.when(F.size("nodes") >= s.k, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")))
     vectors = _with_vectors(lists.select("cell", F.explode("members").alias("node")), points, graph.select("node", floor.alias("floor")))
     k, most = s.k, s.offers
@@ -197,9 +217,10 @@ def _descend(stored: Stored, graph: DataFrame, points: DataFrame, kind: str, s:
             if len(waiting) == 128 or i == len(of_cell) - 1:
                 kept = _nearest(*[np.concatenate(parts) for parts in zip(kept, *waiting)], k)
                 waiting = []
-        return _as_lists(ids, *kept)
+        owner, other, score = kept
+        return _offers(known["home"].to_numpy()[owner], ids[owner], other, score)
 
-    offers = lists.select("cell", "members").groupBy("cell").cogroup(vectors.groupBy("at")).applyInPandas(each, _LISTS)
+    offers = lists.select("cell", "members").groupBy("cell").cogroup(vectors.groupBy("at")).applyInPandas(each, _OFFERS)
     new = stored.keep(_merged(graph, offers, k))
     stored.drop(lists)
     return new
@@ -228,7 +249,7 @@ class Index:
     points: DataFrame
     #: vec_id, node of every row that takes part
     rows: DataFrame
-    #: node, nodes, scores
+    #: cell, node, nodes, scores
     graph: DataFrame
     kind: str
 
@@ -266,7 +287,7 @@ def build_index(vectors: DataFrame, settings: GraphSettings = GraphSettings()) -
     trees = _Trees.fit(fitted, max(0, math.ceil(math.log2(n / s.leaf))), s)
     placed = stored.keep(_placed(stored, bare, trees, kind, s))
     points = stored.keep(bare.join(placed.where("tree = 0").select("node", F.col("leaf").alias("cell")), "node"))
-    graph = stored.keep(_merged(None, _first_lists(placed.join(points.select("node", "vector"), "node"), kind, s), s.k))
+    graph = stored.keep(_merged(None, _first_offers(placed.join(points, "node"), kind, s), s.k))
     for _ in range(s.rounds if n > s.leaf else 0):
         graph = _descend(stored, graph, points, kind, s)
         if graph.agg(F.sum("changed")).first()[0] <= s.least_change * n * s.k:
@@ -280,7 +301,7 @@ _STATE = "cell string, query long, nodes array<long>, scores array<double>, walk
 def _walk(index: Index, sources: DataFrame) -> DataFrame:
     """Greedy search from the points ``sources`` (node): the nearest points found, themselves included."""
     s, stored, kind, points = index.settings, index.stored, index.kind, index.points
-    lists = stored.keep(_members(index.graph, s.k))
+    lists = stored.keep(_members(index.graph, s.k).drop("cell"))
     cells = points.select("node", "cell")
     starts = sources.join(cells, "node").select("cell", F.col("node").alias("query"))
     # The first look is at the query's own list.
