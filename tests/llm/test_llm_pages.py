@@ -98,6 +98,22 @@ def test_a_template_of_bad_labels_is_rejected(spark):
     assert url_templates.judge_urls(urls.limit(0), labels, []).count() == 0
 
 
+def test_branches_of_any_share_and_depth_are_kept_apart(spark):
+    """A branch of 1 % of its node, 1 of 60 equal sections, and branches that differ in the fourth and sixth segment only."""
+    paths = [("a.org", f"/small/{i}", 0) for i in range(20)] + [("a.org", f"/large/{i}", 1) for i in range(1980)]
+    paths += [("b.org", f"/s{i % 60}/{i}", int(i % 60 != 7)) for i in range(1800)]
+    paths += [("c.org", f"/x/y/z/{'bad' if i % 2 else 'fine'}/{i}", 1 - i % 2) for i in range(200)]
+    # Users with too few pages of either kind each.
+    paths += [("d.org", f"/x/y/u/{i // 4}/k/{'bad' if i % 2 else 'fine'}/{i}", 1 - i % 2) for i in range(200)]
+    urls = spark.createDataFrame([(i, f"http://{host}{path}") for i, (host, path, _) in enumerate(paths)], "id long, url string")
+    labels = spark.createDataFrame([(i, good) for i, (_, _, good) in enumerate(paths)], "id long, good int")
+    judged = {r.id: r for r in url_templates.judge_urls(urls, labels, []).collect()}
+    assert len(judged) == len(paths)
+    assert [i for i, r in judged.items() if (r.verdict == "allow") != bool(paths[i][2])] == []
+    templates = {r.template for r in judged.values()}
+    assert {"/small/*", "/s7/*", "/*/*/*/bad/**", "/*/*/*/fine/**", "/*/*/*/*/*/bad/**", "/*/*/*/*/*/fine/**"} <= templates
+
+
 def test_urls_are_judged_without_python(spark):
     plan = QUERIES["op9_url_verdicts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
