@@ -6,14 +6,16 @@ Gaussian along the page, and lines over the page's standard deviation are
 content.  The regions such lines lie in are kept whole, so that a short
 paragraph goes with its article.  Lines in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are never
-content, and where a page marks its article, nothing outside is.
+content, and where a page marks its article, nothing outside is.  A class, id or
+role only marks such a part by a token that names it, and not on an element that
+turns out to hold the article or most of the page's text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,7 +30,7 @@ _BLOCKS = frozenset(
 )
 _NOT_TEXT = frozenset("aside button dialog footer form head header iframe math menu nav noscript object script select style svg template textarea title".split())
 _ARTICLE = frozenset(("article", "main"))
-_WHOLE_PAGE = frozenset(("html", "body", "main"))
+_NEVER_MARKED = frozenset(("html", "body", "main", "article"))
 #: Words of class, id and role that mark what is not the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -36,6 +38,17 @@ _MARKS = frozenset(
     "replies social share sharing related recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination "
     "pager search contentinfo complementary form".split()
 )
+#: Marks that hold however much text lies in them.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus respond replies "
+    "newsletter subscribe popup".split()
+)
+#: What may follow a mark in a token that names a part of the page.
+_PARTS = frozenset("area bar block box buttons items links list posts section slot unit".split())
+#: Tokens with these say something about the page, not what the element is.
+_ABOUT = frozenset("above after before below has hide layout no non not template theme with without".split())
+#: Before "header", what it is the header of.
+_OF_ARTICLE = frozenset("article entry post story".split())
 _MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: An opening tag of the first closes an open one of these.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -44,6 +57,19 @@ _SCOPES = frozenset("article aside body div footer form header main nav section
 SIGMA = 2.0
 
 
+def mark_of(value: str, in_article: bool) -> str | None:
+    """The mark among the tokens of a class, id or role; one that always holds goes first."""
+    found = []
+    for token in value.split():
+        words = [w.lower() for w in _MARK_WORD.findall(token) if not w.isdigit()]
+        if not words or _ABOUT.intersection(words):
+            continue
+        mark = token.lower() if token.lower() in _MARKS else words[-2] if len(words) > 1 and words[-1] in _PARTS else words[-1]
+        if mark in _MARKS and not (mark == "header" and (in_article or _OF_ARTICLE.intersection(words))):
+            found.append(mark)
+    return min(found, key=lambda m: m not in _SURE, default=None)
+
+
 @dataclass
 class Line:
     text: str
@@ -51,6 +77,8 @@ class Line:
     #: Which region of the page it lies in; -1 in what is never content.
     region: int
     in_article: bool
+    #: The marked elements around it.
+    marks: tuple[int, ...] = ()
 
 
 class _Lines(HTMLParser):
@@ -59,15 +87,18 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # tag, left out, region, in an article
+        self._open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]  # tag, left out, region, in an article, marks
+        #: Of each marked element its mark, and whether it holds the article by its tags.
+        self.marks: list[str] = []
+        self.holds: list[bool] = []
         self._text: list[str] = []
         self._tags, self._regions = 0, 0
 
     def flush(self) -> None:
         text = " ".join("".join(self._text).split())
-        _, out, region, article = self._open[-1]
+        _, out, region, article, marks = self._open[-1]
         if text:
-            self.lines.append(Line(text, self._tags, -1 if out else region, article))
+            self.lines.append(Line(text, self._tags, -1 if out else region, article, marks))
             self._tags = 0
         self._text.clear()
 
@@ -81,16 +112,24 @@ class _Lines(HTMLParser):
             return
         if tag in _CLOSES:
             self._close(_CLOSES[tag], _SCOPES)
-        _, out, region, article = self._open[-1]
-        marks = {w.lower() for name, value in attrs if name in ("class", "id", "role") and value for w in _MARK_WORD.findall(value)}
-        marked = bool(marks & _MARKS) and tag not in _WHOLE_PAGE
+        _, out, region, article, marks = self._open[-1]
         # The header of an article holds its title.
-        out = out or marked or (tag in _NOT_TEXT and not (tag == "header" and article))
+        out = out or (tag in _NOT_TEXT and not (tag == "header" and article))
+        if not out and (tag == "main" or (tag == "h1" and any(x[0] == "article" for x in self._open))):
+            for i in marks:
+                self.holds[i] = True
+        if tag not in _NEVER_MARKED and not (tag == "header" and article):
+            values = " ".join(value for name, value in attrs if name in ("class", "id", "role") and value)
+            mark = mark_of(values, article) if values else None
+            if mark:
+                marks = (*marks, len(self.marks))
+                self.marks.append(mark)
+                self.holds.append(False)
         article = article or (tag in _ARTICLE and not out)
         if tag in _ARTICLE or (tag in ("section", "div", "td", "body") and not article):
             self._regions += 1
             region = self._regions
-        self._open.append((tag, out, region, article))
+        self._open.append((tag, out, region, article, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # A slash at the end of a tag that is not void has no meaning.
@@ -121,7 +160,21 @@ def lines(html: str) -> list[Line]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return _without_marked(parser)
+
+
+def _without_marked(parser: _Lines) -> list[Line]:
+    """The lines, out of every region where a mark holds."""
+    standing = [not holds for holds in parser.holds]
+    sure = {i for i, mark in enumerate(parser.marks) if mark in _SURE and standing[i]}
+    shown = [x for x in parser.lines if x.region >= 0 and sure.isdisjoint(x.marks)]
+    inside = [0] * len(standing)
+    for line in shown:
+        for i in line.marks:
+            inside[i] += len(line.text)
+    half = sum(len(x.text) for x in shown) / 2
+    standing = [s and (i in sure or inside[i] <= half) for i, s in enumerate(standing)]
+    return [replace(x, region=-1) if any(standing[i] for i in x.marks) else x for x in parser.lines]
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:

@@ -55,6 +55,25 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+BODY = "<h1>Title</h1><p>The story is told here at length, and goes on.</p>"
+STORY = "Title\nThe story is told here at length, and goes on."
+WRAPPED = [
+    *[f"<body><div {mark}>{BODY}</div></body>" for mark in ("class='content has-sidebar'", "class=no-sidebar", "class=with-nav", "class='post comments-open'", "id=page-header-layout")],
+    *[f"<article {mark}>{BODY}</article>" for mark in ("class='content has-sidebar'", "class='post comments-open'", "class='widget'", "id=page-header-layout")],
+    "<article><header class='entry-header'><h1>Title</h1></header><p>The story is told here at length, and goes on.</p></article>",
+    "<article><div class='entry-header'><h1>Title</h1></div><p>The story is told here at length, and goes on.</p></article>",
+    f"<div class=sidebar><article>{BODY}</article></div><div class=comments><p>{'A reader says much more than that. ' * 9}</p></div>",
+    f"<div id=search><div>{BODY}</div></div><div class=related-posts><p>More</p></div>",
+    # What a token names is still left out.
+    f"<div class='share-buttons'>Share</div><div class='col site-nav'>Links</div><div id=sidebar2>Side</div><div>{BODY}</div><ol class=comment-list><li><article>{'Reader ' * 30}</article></ol>",
+]
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_a_word_of_a_class_does_not_take_the_article(html):
+    assert html_text.main_text(html) == STORY
+
+
 def test_main_text_of_a_very_long_page_and_odd_rows(spark):
     long = "<article>" + "<p>Some words of a paragraph.</p>" * 30_000 + "</article>"
     pages = spark.createDataFrame([(1, None, None, "c"), (None, "u", long, None), (2, "u", "<p>a", "c"), (2, "u", "<p>a", "c")], "page_id long, url string, html string, text string")
