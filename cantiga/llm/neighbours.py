@@ -10,7 +10,9 @@ a beam of the nearest points found.
 Both steps run on *cells*, leaves of the first tree: lists of near points
 share most of their members, so each vector is sent once per cell and not once
 per list.  Reverse lists of points that are everybody's neighbour are dealt in
-parts, each joined with the point's own list; no member is left out.
+parts, each joined with the point's own list; no member is left out.  Where
+they are many, the parts are groups of their own beside the cell's, and a query
+that walks from such a point looks at its list and one of its parts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from cantiga.llm.common import Stored, grouped_pass
 
 #: Levels of a tree that have thresholds of their own below each other.
 _OWN_LEVELS = 12
+#: Parts of a reverse list that stay with their cell; a list of more has a group for each.
+_WITH_CELL = 16
+#: Parts whose offers to one cell are merged at a time.
+_GATHERED = 64
 
 
 @dataclass(frozen=True)
@@ -184,13 +190,53 @@ def _merged(graph: DataFrame | None, offers: DataFrame, k: int) -> DataFrame:
 
 
 def _members(graph: DataFrame, k: int) -> DataFrame:
-    """Each point with its list and the points that list it; many of those come in parts."""
+    """Each point with its list and the points that list it; many of those come in parts.
+
+    ``parts``, ``part`` and ``nodes``, the point's own list, are null where they stay with their cell.
+    """
     edges = graph.select(F.explode("nodes").alias("center"), F.col("node").alias("from"))
-    crowded = edges.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("center", F.ceil(F.col("n") / k).alias("parts"))
+    # Powers of two above: points that the same ones list get them in the same parts.
+    share = F.col("n") / k
+    parts = F.when(share <= _WITH_CELL, F.ceil(share)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(share)))).cast("long")
+    crowded = edges.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("center", parts.alias("parts"))
     part = F.pmod(F.xxhash64("from"), F.coalesce("parts", F.lit(1)))
-    reverse = edges.join(crowded, "center", "left").groupBy("center", part.alias("part")).agg(F.collect_list("from").alias("others"))
+    reverse = edges.join(crowded, "center", "left").groupBy("center", "parts", part.alias("part")).agg(F.collect_list("from").alias("others"))
     joined = graph.join(reverse.withColumnRenamed("center", "node"), "node", "left")
-    return joined.select("cell", "node", F.array_distinct(F.concat("nodes", F.coalesce("others", F.array().cast("array<long>")), F.array("node"))).alias("members"))
+    members = F.array_distinct(F.concat("nodes", F.coalesce("others", F.array().cast("array<long>")), F.array("node")))
+    own = F.col("parts") > _WITH_CELL
+    return joined.select("cell", "node", members.alias("members"), *[F.when(own, F.col(c)).alias(c) for c in ("parts", "part", "nodes")])
+
+
+def _looked_at(lists: DataFrame, walkers: DataFrame) -> DataFrame:
+    """What the walkers (cell, query, node) see from their nodes; of very many parts the one they fall in."""
+    own = lists.where("part IS NULL")
+    # Such a list is met by its part, not joined whole and then filtered.
+    of_part = lists.where("part IS NOT NULL")
+    sizes = of_part.groupBy("node", "parts").agg(F.any_value("nodes").alias("nodes"))
+    theirs = walkers.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")))
+    seen = [walkers.join(own, "node"), theirs.join(of_part.select("node", "part", "members"), ["node", "part"], "left")]
+    return seen[0].select("cell", "query", "members").union(seen[1].select("cell", "query", F.coalesce("members", "nodes")))
+
+
+def _gathered(offers: DataFrame, k: int) -> DataFrame:
+    """Offers of parts, those of some parts to one cell merged."""
+
+    def each(of_cell: pa.Table) -> Iterable[pa.RecordBatch]:
+        lists = [np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in of_cell.column(c)]) for c in ("nodes", "others", "scores")]
+        node, other, score = _nearest(*lists, k)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([of_cell.column("home")[0].as_py()], pa.string()),
+                pa.array([node], pa.list_(pa.int64())),
+                pa.array([other], pa.list_(pa.int64())),
+                pa.array([score], pa.list_(pa.float32())),
+                pa.array([of_cell.column("part")[0].as_py()], pa.int64()),
+            ],
+            names=["cell", "nodes", "others", "scores", "part"],
+        )
+
+    by = F.floor(F.col("part") / _GATHERED).cast("long")
+    return grouped_pass(offers.select(F.concat_ws("/", "cell", by).alias("at"), F.col("cell").alias("home"), "nodes", "others", "scores", by.alias("part")), "at", each, _OFFERS + ", part long")
 
 
 def _with_vectors(needs: DataFrame, points: DataFrame, floors: DataFrame | None) -> DataFrame:
@@ -201,9 +247,9 @@ def _with_vectors(needs: DataFrame, points: DataFrame, floors: DataFrame | None)
 
 def _descend(stored: Stored, graph: DataFrame, points: DataFrame, kind: str, s: GraphSettings) -> DataFrame:
     """One round: members of each list are compared among themselves."""
-    lists = stored.keep(_members(graph, s.k))
+    lists = stored.keep(_members(graph, s.k).withColumn("at", F.concat_ws("/", "cell", "part")))
     floor = F.when(F.size("nodes") >= s.k, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")))
-    vectors = _with_vectors(lists.select("cell", F.explode("members").alias("node")), points, graph.select("node", floor.alias("floor")))
+    vectors = _with_vectors(lists.select(F.col("at").alias("cell"), F.explode("members").alias("node")), points, graph.select("node", floor.alias("floor")))
     k, most = s.k, s.offers
 
     def each(of_cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -218,9 +264,18 @@ def _descend(stored: Stored, graph: DataFrame, points: DataFrame, kind: str, s:
                 kept = _nearest(*[np.concatenate(parts) for parts in zip(kept, *waiting)], k)
                 waiting = []
         owner, other, score = kept
-        return _offers(known["home"].to_numpy()[owner], ids[owner], other, score)
-
-    offers = lists.select("cell", "members").groupBy("cell").cogroup(vectors.groupBy("at")).applyInPandas(each, _OFFERS)
+        part = of_cell["part"].iloc[0]
+        return _offers(known["home"].to_numpy()[owner], ids[owner], other, score).assign(part=np.nan if pd.isna(part) else int(part)).astype({"part": "Int64"})
+
+    offers = lists.select("at", "members", "part").groupBy("at").cogroup(vectors.groupBy("at")).applyInPandas(each, _OFFERS + ", part long")
+    parts = lists.agg(F.max("parts")).first()[0]
+    if parts is not None:
+        offers = stored.keep(offers)
+        of_parts = offers.where("part IS NOT NULL")
+        while parts > _GATHERED:
+            of_parts, parts = _gathered(of_parts, k), math.ceil(parts / _GATHERED)
+        offers = offers.where("part IS NULL").unionByName(of_parts)
+    offers = offers.drop("part")
     new = stored.keep(_merged(graph, offers, k))
     stored.drop(lists)
     return new
@@ -305,7 +360,7 @@ def _walk(index: Index, sources: DataFrame) -> DataFrame:
     cells = points.select("node", "cell")
     starts = sources.join(cells, "node").select("cell", F.col("node").alias("query"))
     # The first look is at the query's own list.
-    ahead = starts.join(lists, F.col("query") == F.col("node"), "left").select("cell", "query", F.coalesce("members", F.array("query")).alias("members"))
+    ahead = _looked_at(lists, starts.withColumn("node", F.col("query"))).union(starts.withColumn("members", F.array("query")))
     state = None
     held, beam = s.held, s.beam
     for _ in range(s.steps + 1):
@@ -338,7 +393,7 @@ def _walk(index: Index, sources: DataFrame) -> DataFrame:
             stored.drop(before)
         open_nodes = state.select("cell", "query", F.explode(F.arrays_zip(F.slice("nodes", 1, beam).alias("node"), F.slice("walked", 1, beam).alias("walked"))).alias("x"))
         fringe = open_nodes.where(~F.col("x.walked")).select("cell", "query", F.col("x.node").alias("node"))
-        ahead = fringe.join(lists, "node").select("cell", "query", "members")
+        ahead = _looked_at(lists, fringe)
         if fringe.isEmpty():
             break
     return state.select(F.col("query").alias("node"), F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select("node", F.col("x.nodes").alias("near"), F.col("x.scores").alias("score"))

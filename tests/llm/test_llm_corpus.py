@@ -131,6 +131,35 @@ def test_neighbours_recall_over_several_cells(spark):
     assert [v for v, _ in got[200]][:3] == [v for v, _ in nearest(np.arange(3000), exact, 200, 3)]
 
 
+def test_a_point_that_all_list_fills_no_task(spark, monkeypatch):
+    """4,000 almost equal points that all list the same four."""
+    s = neighbours.GraphSettings(k=4, leaf=128, steps=1)
+    n, stored = 4000, Stored(spark, "hubs")
+    draw = np.random.default_rng(5)
+    x = (1 + 1e-3 * draw.standard_normal((n, 8))).astype("<f4")
+    hubs = [0, 1, 2, 3, 4]
+    cell = lambda i: f"0_{i // s.leaf}_0"
+    points = stored.keep(spark.createDataFrame([(i, v.tobytes(), cell(i)) for i, v in enumerate(x)], "node long, vector binary, cell string"))
+    lists = [[h for h in hubs if h != i][: s.k] for i in range(n)]
+    graph = stored.keep(spark.createDataFrame([(cell(i), i, m, [float(x[i] @ x[j]) for j in m], 0) for i, m in enumerate(lists)], neighbours._GRAPH))
+    groups, fetch = [], neighbours._with_vectors
+
+    def counted(needs, *rest):
+        groups.append((needs.count(), needs.distinct().groupBy("cell").count().agg(F.max("count")).first()[0]))
+        return fetch(needs, *rest)
+
+    monkeypatch.setattr(neighbours, "_with_vectors", counted)
+    new = {r.node: list(r.nodes) for r in neighbours._descend(stored, graph, points, "<f4", s).collect()}
+    assert set(new) == set(range(n)) and all(len(m) == s.k for m in new.values())
+    # Found by way of the parts: points that are nearer than the four.
+    assert sum(set(m) != set(lists[i]) for i, m in new.items()) > n / 2
+    assert groups[0][1] <= 4 * s.leaf
+    groups.clear()
+    index = neighbours.Index(stored, s, points, points, graph, "<f4")
+    assert neighbours._walk(index, points.where("node % 20 = 0").select("node")).select("node").distinct().count() == n / 20
+    assert max(rows for rows, _ in groups) <= n / 20 * s.beam * 8 * s.k
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (40, []), (60, None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
