@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantiga.llm import html_text, language, mixing, neighbours, ngram_join, packing, pu_quality, rules, sharding, sql, url_templates
+from cantiga.llm import hard_negatives, html_text, language, mixing, neighbours, ngram_join, packing, prefix_trie, pu_quality, rules, secret_links, sharding, sql, url_templates
 from cantiga.llm.common import remainder, table, word_count
 
 SHARD_BYTES = 1 << 20
@@ -78,12 +78,33 @@ def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_SCORE).cast("int").alias("predicted"))
 
 
+def op11_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_links.digests(secret_links.find_credentials(table(spark, folder, "documents")))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return prefix_trie.build_trie(prefix_trie.rebuilt_from_heads(turns))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    seventh = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    label = F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_extendible_shards, op2_quality_rules, op3_nearest_vectors, op4_similar_texts, op5_main_text, op6_packed_sequences, op7_mixed_sources, op8_languages, op9_url_verdicts,
-        op10_quality_scores,
+        op10_quality_scores, op11_linked_secrets, op12_conversation_trie, op13_hard_negatives,
     )
 }
 #: The others learn, draw, tokenize or search step by step, which SQL does not express; their tests hold brute force against them.
-ORACLE: dict[str, str] = {"op1_extendible_shards": sql.shards_sql(SHARD_BYTES), "op9_url_verdicts": sql.urls_sql(URL_RULES, url_templates.TreeSettings())}
+ORACLE: dict[str, str] = {
+    "op1_extendible_shards": sql.shards_sql(SHARD_BYTES),
+    "op9_url_verdicts": sql.urls_sql(URL_RULES, url_templates.TreeSettings()),
+    "op11_linked_secrets": secret_links.digests_sql(),
+    "op12_conversation_trie": prefix_trie.TRIE_SQL,
+    "op13_hard_negatives": hard_negatives.NEGATIVES_SQL,
+}
