@@ -21,7 +21,7 @@ def _folding_rules() -> tuple[str, str, dict[str, str]]:
 
     Generated from the Unicode tables.  Characters past the end of the
     replacements are combining marks, which ``translate`` deletes.  Hangul
-    syllables stay composed.
+    syllables are not among them; they are taken apart by their numbers.
     """
     source, target, dropped, several = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
@@ -49,8 +49,32 @@ def _folding_table() -> dict[int, str | None]:
 
 
 def fold(text: str) -> str:
-    """Folding of one word on the driver, for keyword lists: the same table as ``fold_text``."""
-    return text.lower().translate(_folding_table())
+    """Folding of one word on the driver, for keyword lists: the same rules as ``fold_text``."""
+    parts = [unicodedata.normalize("NFD", c) if ord(c) in _HANGUL else c for c in text.lower()]
+    return "".join(parts).translate(_folding_table())
+
+
+#: The letters that Hangul syllables are made of, numbered first, middle and last: the syllables are in the order of these numbers.
+_FIRST, _MIDDLE, _LAST = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+_ANY_HANGUL = f"[{chr(_HANGUL[0])}-{chr(_HANGUL[-1])}]"
+
+
+def _without_hangul(text: Column) -> Column:
+    """Hangul syllables as the two or three letters they are made of."""
+
+    def letter(letters: range, number: Column) -> Column:
+        # The number 0 gives no letter.
+        return F.substring(F.lit("".join(map(chr, letters))), number, F.when(number > 0, 1).otherwise(0))
+
+    def letters(char: Column) -> Column:
+        number = F.ascii(char) - _HANGUL[0]
+        last = number % (len(_LAST) + 1)
+        above = F.floor(number / (len(_LAST) + 1)).cast("int")
+        middle, first = above % len(_MIDDLE) + 1, F.floor(above / len(_MIDDLE)).cast("int") + 1
+        return F.concat(letter(_FIRST, first), letter(_MIDDLE, middle), letter(_LAST, last))
+
+    chars = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_ANY_HANGUL), letters(c)).otherwise(c))
+    return F.when(text.rlike(_ANY_HANGUL), F.array_join(chars, "")).otherwise(text)
 
 
 def fold_text(column: Column) -> Column:
@@ -62,7 +86,7 @@ def fold_text(column: Column) -> Column:
     """
     source, target, several = _folding_rules()
     lowered = F.lower(column)
-    folded = F.translate(lowered, source, target)
+    folded = F.translate(_without_hangul(lowered), source, target)
     spelling = F.map_from_arrays(word_list(several), word_list(several.values()))
     present = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({_near(several)})"), F.lit(0)))
     spelled_out = F.aggregate(

@@ -23,31 +23,57 @@ FIXED_HOLIDAYS = [
     (11, 15, "Proclamacao da Republica"),
     (12, 25, "Natal"),
 ]
+# National holidays by their days from Easter Sunday.
+MOVABLE_HOLIDAYS = [
+    (-48, "Carnaval"),
+    (-47, "Carnaval"),
+    (-2, "Sexta-feira Santa"),
+    (60, "Corpus Christi"),
+]
 WEEKDAYS = ["domingo", "segunda", "terca", "quarta", "quinta", "sexta", "sabado"]
 
 
-def _on_fixed_holiday(day: Column) -> Column:
-    """The name of the fixed holiday on a day of any year, else null."""
-    names = F.create_map(*[F.lit(x) for month, number, name in FIXED_HOLIDAYS for x in (f"{month:02}-{number:02}", name)])
-    return F.try_element_at(names, F.date_format(day, "MM-dd"))
+def easter_sunday(year: Column) -> Column:
+    """Easter Sunday of a Gregorian year, by whole-number arithmetic on the column."""
+
+    def over(x: Column, n: int) -> Column:
+        return F.floor(x / n).cast("int")
+
+    golden, century, rest = year % 19, over(year, 100), year % 100
+    leap_centuries, moon = over(century, 4), over(century - over(century + 8, 25) + 1, 3)
+    # Days from 21 March to the full moon, then to the Sunday after it.
+    to_moon = (19 * golden + century - leap_centuries - moon + 15) % 30
+    to_sunday = (32 + 2 * (century % 4) + 2 * over(rest, 4) - to_moon - rest % 4) % 7
+    late = over(golden + 11 * to_moon + 22 * to_sunday, 451)
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), to_moon + to_sunday - 7 * late)
+
+
+def holiday_name(day: Column) -> Column:
+    """The name of the national holiday on a day of any year, else null; a fixed one goes before one that moves."""
+
+    def named(names: list[tuple[str | int, str]], key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in names for x in pair]), key)
+
+    fixed = [(f"{month:02}-{number:02}", name) for month, number, name in FIXED_HOLIDAYS]
+    return F.coalesce(named(fixed, F.date_format(day, "MM-dd")), named(MOVABLE_HOLIDAYS, F.date_diff(day, easter_sunday(F.year(day)))))
 
 
 def build_calendar(span: DataFrame, holidays: DataFrame | None = None, bridge_days: DataFrame | None = None) -> DataFrame:
     """One row per day of ``span`` (one row: ``inicio``, ``fim``).
 
-    ``holidays`` (data, nome_feriado, uf_feriado) replaces the fixed national
-    holidays, which hold in every year.  ``dia_critico`` is Friday, Saturday, the
-    eve of a holiday, or a listed bridge day.  A day after the end of the span
+    ``holidays`` (data, nome_feriado, uf_feriado) replaces the national holidays,
+    fixed and by Easter, which hold in every year.  ``dia_critico`` is Friday,
+    Saturday, the eve of a holiday, or a listed bridge day.  A day after the end of the span
     still counts as a holiday for its eve.
     """
     days = span.select(F.explode(F.sequence("inicio", "fim")).alias("data"))
     if holidays is None:
         calendar = days.withColumns(
             {
-                "nome_feriado": _on_fixed_holiday(F.col("data")),
+                "nome_feriado": holiday_name(F.col("data")),
                 "uf_feriado": F.lit(None).cast("string"),
-                "__holiday": _on_fixed_holiday(F.col("data")).isNotNull(),
-                "__eve": _on_fixed_holiday(F.date_add("data", 1)).isNotNull(),
+                "__holiday": holiday_name(F.col("data")).isNotNull(),
+                "__eve": holiday_name(F.date_add("data", 1)).isNotNull(),
             }
         )
     else:

@@ -21,29 +21,60 @@ def array_keys(artists: DataFrame, column: str) -> DataFrame:
     return artists.select(F.explode(column).alias("chave"), "id")
 
 
+#: Characters of the pieces that names and keywords are compared by.
+GRAM = 4
+
+
+def name_pieces(names: DataFrame, lengths: Column) -> DataFrame:
+    """(nome, gram): a piece of ``GRAM`` characters at each place of each distinct name, each once.
+
+    ``lengths``: lengths below ``GRAM`` that keywords have, for which there are shorter pieces too.
+    """
+    size = F.col("__size")
+    places = F.sequence(F.lit(1), F.length("lower") - size + 1)
+    cut = F.transform(places, lambda at: F.substring("lower", at, size))
+    lowered = names.select("nome").where(F.col("nome").isNotNull()).distinct().withColumn("lower", F.lower("nome"))
+    return (
+        lowered.withColumn("__size", F.explode(F.array_union(F.array(F.lit(GRAM)), lengths)))
+        .where(F.length("lower") >= size)
+        .select("nome", F.explode(F.array_distinct(cut)).alias("gram"))
+    )
+
+
+def anchored(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(gram, word, best): each of the ``words`` by the one of its pieces that the fewest names have.
+
+    A keyword shorter than a piece is its own.  One with a piece that no name has is in no name.
+    """
+    size = F.least(F.length("word"), F.lit(GRAM))
+    own = F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda at: F.substring("word", at, size))
+    grams = words.select("word", "best", F.explode(F.array_distinct(own)).alias("gram"))
+    counted = pieces.groupBy(F.col("gram").alias("key_0")).agg(F.count("*").alias("__names"))
+    rated = join_to_sums(grams, counted, ["gram"])
+    rarest = F.min(F.struct(F.coalesce("__names", F.lit(0)).alias("names"), "gram"))
+    return rated.groupBy("word").agg(rarest.alias("at"), F.first("best").alias("best")).where("at.names > 0").select("at.gram", "word", "best")
+
+
 def _by_keyword(names: DataFrame, words: DataFrame) -> DataFrame:
     """(nome, best): per name the row ``best`` of the longest of the ``words`` (word, best) it contains.
 
-    A pattern join would compare every name with every keyword.  Instead each
-    distinct name is cut into its substrings of the lengths that occur among
-    the keywords, each once, and those are joined for equality: only true
-    matches pair up, and a keyword that most names hold is split.
+    A pattern join would compare every name with every keyword.  Instead a name
+    meets only the keywords whose rarest piece it has, and is then searched for
+    them.  Of a name there is a piece for each of its places, whatever lengths
+    keywords have; keywords that share a piece travel as one row, so that a
+    piece that most names have is a hot key on one side only, and is split.
     """
-    lengths = words.agg(F.collect_set(F.length("word"))).scalar()
-    places = F.sequence(F.lit(1), F.length("__lower") - F.col("__length") + 1)
-    cut = F.transform(places, lambda at: F.substring("__lower", at, F.col("__length")))
-    pieces = (
-        names.select("nome")
-        .where(F.col("nome").isNotNull())
-        .distinct()
-        .withColumn("__lower", F.lower("nome"))
-        .withColumn("__length", F.explode(lengths))
-        .where(F.length("__lower") >= F.col("__length"))
-        .select("nome", F.explode(F.array_distinct(cut)).alias("__word"))
-    )
-    found = join_to_sums(pieces, words.withColumnRenamed("word", "key_0"), ["__word"], "inner")
-    longest = F.struct((-F.length("__word")).alias("minus_n"), "best")
-    return found.groupBy("nome").agg(F.min(longest).alias("__longest")).select("nome", F.col("__longest.best").alias("best"))
+    lengths = words.agg(F.collect_set(F.when(F.length("word") < GRAM, F.length("word")))).scalar()
+    pieces = name_pieces(names, lengths)
+    anchors = anchored(words, pieces)
+    # Keywords of one anchor are dealt into rows of a few hundred.
+    row = F.pmod(F.xxhash64("word"), F.lit(1 << 62)) % F.ceil(F.col("__n") / 256)
+    sizes = anchors.groupBy("gram").agg(F.count("*").alias("__n"))
+    dealt = anchors.join(sizes, "gram").groupBy(F.col("gram").alias("key_0"), row.alias("__row")).agg(F.collect_list(F.struct((-F.length("word")).alias("minus_n"), "best", "word")).alias("__words"))
+    found = join_to_sums(pieces, dealt, ["gram"], "inner")
+    held = F.filter("__words", lambda w: F.contains(F.lower("nome"), w["word"]))
+    longest = F.array_min(F.transform(held, lambda w: F.struct(w["minus_n"].alias("minus_n"), w["best"].alias("best"))))
+    return found.select("nome", longest.alias("__longest")).where("__longest IS NOT NULL").groupBy("nome").agg(F.min("__longest").alias("__longest")).select("nome", F.col("__longest.best").alias("best"))
 
 
 def _words(keywords: DataFrame, best: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantiga.functions.money import money, percent
@@ -142,22 +142,21 @@ def quality_report(**parts: tuple[DataFrame, Sequence[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [as_measures(frame, name, labels) for name, (frame, labels) in parts.items()])
 
 
-def over_count(raw: DataFrame, latest: DataFrame, value: str) -> DataFrame:
-    """Per status: rows and value with every status row counted, and with the latest row only."""
-
-    def by_status(frame: DataFrame, rows: str, total: str) -> DataFrame:
-        return frame.groupBy("status").agg(F.count("*").alias(rows), F.sum(money(F.col(value))).alias(total))
-
-    every = by_status(raw, "linhas_brutas", "valor_bruto")
-    kept = by_status(latest, "linhas_unicas", "valor_unico")
-    return (
-        every.withColumnRenamed("status", "__raw")
-        .join(kept, F.col("__raw").eqNullSafe(F.col("status")), "left")
-        .select(
-            F.col("__raw").alias("status"),
-            "linhas_brutas",
-            "valor_bruto",
-            F.coalesce("linhas_unicas", F.lit(0)).alias("linhas_unicas"),
-            F.coalesce("valor_unico", F.lit(0)).alias("valor_unico"),
-        )
+def over_count(raw: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Per status: rows and value with every status row counted, and with the latest row of each key only.
+
+    One pass: rows are summed by key and status, which keeps of each the row
+    with the greatest ``order`` columns; of a key's few statuses the one with the
+    latest row is flagged.  A key with very many rows is a row per task by then.
+    """
+    amount = money(F.col(value))
+    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], amount.alias("value")))
+    by_status = raw.groupBy(*keys, "status").agg(F.count("*").alias("rows"), F.sum(amount).alias("total"), last.alias("last"))
+    newest = Window.partitionBy(*keys).orderBy(F.col("last").desc())
+    flagged = by_status.withColumn("kept", F.row_number().over(newest) == 1)
+    return flagged.groupBy("status").agg(
+        F.sum("rows").alias("linhas_brutas"),
+        F.sum("total").alias("valor_bruto"),
+        F.count_if("kept").alias("linhas_unicas"),
+        F.coalesce(F.sum(F.when(F.col("kept"), F.col("last.value"))), F.lit(0)).alias("valor_unico"),
     )

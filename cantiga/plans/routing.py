@@ -269,16 +269,38 @@ def route_questions(
     )
 
 
-def routing_mix(routed: DataFrame) -> DataFrame:
-    """How many questions ask for each key of each source, and how many go to the source at all."""
+def distinct_questions(frame: DataFrame, text: str, **stated: str | None) -> DataFrame:
+    """Each different question, with what its asker stated, and the number of rows that ask it (``perguntas``).
+
+    A question that a third of the table asks is a row per task before it is shuffled.
+    """
+    columns = list(dict.fromkeys([text, *[c for c in stated.values() if c is not None]]))
+    maps = [c for c in columns if frame.schema[c].dataType.typeName() == "map"]
+    # Maps are no grouping keys; their entries in order are.
+    keys = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in columns]
+    counted = frame.select(*keys).groupBy(*columns).agg(F.count("*").alias("perguntas"))
+    return counted.withColumns({c: F.map_from_entries(c) for c in maps})
+
+
+def question_mix(frame: DataFrame, text: str, as_of: date | str | None = None, **stated: str | None) -> DataFrame:
+    """``routing_mix`` of a table of questions, each different one routed once; arguments as of ``route_questions``."""
+    return routing_mix(route_questions(distinct_questions(frame, text, **stated), text, as_of, **stated), "perguntas")
+
+
+def routing_mix(routed: DataFrame, weight: str | None = None) -> DataFrame:
+    """How many questions ask for each key of each source, and how many go to the source at all.
+
+    ``weight`` names the column that says how many questions a row stands for; one each without it.
+    """
     kinds = {"source": F.array("rota_source"), "metric": F.col("rota_metrics"), "dimension": F.col("rota_dimensions")}
 
     def marked(kind: str, keys: Column) -> Column:
         return F.transform(keys, lambda key: F.struct(F.lit(kind).alias("tipo"), key.alias("chave")))
 
     asked = F.concat(*[marked(kind, keys) for kind, keys in kinds.items()])
+    each = F.lit(1).cast("long") if weight is None else F.col(weight)
     return (
-        routed.select(F.col("rota_source").alias("fonte"), F.explode(asked).alias("item"))
+        routed.select(F.col("rota_source").alias("fonte"), each.alias("n"), F.explode(asked).alias("item"))
         .groupBy("fonte", "item.tipo", "item.chave")
-        .agg(F.count("*").alias("perguntas"))
+        .agg(F.sum("n").alias("perguntas"))
     )

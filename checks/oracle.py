@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from cantiga import vocabulary as V
 from cantiga.catalog import SOURCES
-from cantiga.functions.text import fold
 from checks.questions import AS_OF_QUESTIONS, TEMPLATES
 
-HOLIDAYS = "('01-01', '04-21', '05-01', '09-07', '10-12', '11-02', '11-15', '12-25')"
-HOLIDAY_NAMES = """CASE strftime(d, '%m-%d') WHEN '01-01' THEN 'Confraternizacao Universal' WHEN '04-21' THEN 'Tiradentes'
- WHEN '05-01' THEN 'Dia do Trabalho' WHEN '09-07' THEN 'Independencia do Brasil' WHEN '10-12' THEN 'Nossa Senhora Aparecida'
- WHEN '11-02' THEN 'Finados' WHEN '11-15' THEN 'Proclamacao da Republica' WHEN '12-25' THEN 'Natal' END"""
+HOLIDAY_NAMES = {
+    "01-01": "Confraternizacao Universal", "04-21": "Tiradentes", "05-01": "Dia do Trabalho", "09-07": "Independencia do Brasil",
+    "10-12": "Nossa Senhora Aparecida", "11-02": "Finados", "11-15": "Proclamacao da Republica", "12-25": "Natal",
+}
+
+
+def _holiday(day: str) -> str:
+    """The name of the holiday on ``day``; Easter by Oudin's rule, a month and a day number."""
+    y = f"year({day})"
+    g, c = f"({y} % 19)", f"({y} // 100)"
+    h = f"(({c} - {c} // 4 - (8 * {c} + 13) // 25 + 19 * {g} + 15) % 30)"
+    i = f"({h} - ({h} // 28) * (1 - (29 // ({h} + 1)) * ((21 - {g}) // 11)))"
+    n = f"({i} - ({y} + {y} // 4 + {i} + 2 - {c} + {c} // 4) % 7)"
+    month = f"(3 + ({n} + 40) // 44)"
+    easter = f"make_date({y}, {month}, {n} + 28 - 31 * ({month} // 4))"
+    fixed = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in HOLIDAY_NAMES.items())
+    moved = "WHEN -48 THEN 'Carnaval' WHEN -47 THEN 'Carnaval' WHEN -2 THEN 'Sexta-feira Santa' WHEN 60 THEN 'Corpus Christi'"
+    return f"coalesce(CASE strftime({day}, '%m-%d') {fixed} END, CASE {day} - {easter} {moved} END)"
 
 
 def _calendar(span: str) -> str:
@@ -21,10 +35,10 @@ def _calendar(span: str) -> str:
            ['domingo', 'segunda', 'terca', 'quarta', 'quinta', 'sexta', 'sabado'][dayofweek(d) + 1] AS dia_semana,
            CAST(day(d) AS INTEGER) AS dia_numero,
            dayofweek(d) IN (0, 6) AS fim_de_semana,
-           strftime(d, '%m-%d') IN {HOLIDAYS} AS feriado,
-           {HOLIDAY_NAMES} AS nome_feriado,
+           {_holiday('d')} IS NOT NULL AS feriado,
+           {_holiday('d')} AS nome_feriado,
            CAST(NULL AS VARCHAR) AS uf_feriado,
-           dayofweek(d) IN (5, 6) OR strftime(d + INTERVAL 1 DAY, '%m-%d') IN {HOLIDAYS} AS dia_critico
+           dayofweek(d) IN (5, 6) OR {_holiday('(d + 1)')} IS NOT NULL AS dia_critico
     FROM (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM ({span}))"""
 
 
@@ -222,6 +236,10 @@ def percent_sql(part: str, whole: str) -> str:
 # ---- routing -----------------------------------------------------------------
 
 
+def _plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -250,11 +268,11 @@ def routing_ctes(questions: str, as_of: str) -> str:
     standalone = " ".join(f"WHEN {_any(w)} THEN {_text(s)}" for s, w in V.SOURCE_WORDS.items())
     track = _any(V.TRACK_WORDS)
     platform = " ".join(
-        f"WHEN {track} AND {_any([fold(x) for x in w])} THEN {_text(s)}" for s, w in V.PLATFORM_WORDS.items()
+        f"WHEN {track} AND {_any([_plain(x) for x in w])} THEN {_text(s)}" for s, w in V.PLATFORM_WORDS.items()
     )
     filters = {
         f: "CASE "
-        + " ".join(f"WHEN {_any([fold(x) for x in w])} THEN {_text(v)}" for v, w in values.items())
+        + " ".join(f"WHEN {_any([_plain(x) for x in w])} THEN {_text(v)}" for v, w in values.items())
         + " END"
         for f, values in V.FILTER_WORDS.items()
     }

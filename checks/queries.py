@@ -189,6 +189,29 @@ def _(star):
     )
 
 
+@register(
+    "refreshed_by_fingerprint",
+    O.with_ctes(
+        """SELECT mes AS periodo, count(*) AS linhas, CAST(sum(CASE WHEN mes = '1999-01' THEN val * 2 ELSE val END) AS DOUBLE) AS royalties,
+                  mes = '1999-01' AS refeito
+           FROM line WHERE r_name = 'AMERICA' AND mes <> '1998-05' GROUP BY ALL"""
+    ),
+)
+def _(star):
+    """One month corrected, one gone: only the corrected one is computed again, and the other's folder is removed."""
+    lines = star.orchard.base.select(
+        F.col("periodo_relatorio").alias("periodo"), F.col("valor_liquido_moeda_conta").alias("valor")
+    )
+    fixed = F.when(F.col("periodo") == "1999-01", F.col("valor") * 2).otherwise(F.col("valor")).cast("decimal(18,4)")
+    path = shared_folder(star.spark, "mv_fingerprints")
+    sinks.refresh_months(lines, path)
+    done = sinks.refresh_months(lines.where("periodo <> '1998-05'").withColumn("valor", fixed), path)
+    staged = sinks.read_months(star.spark, path).withColumn("periodo", F.col("periodo").cast("string"))
+    return staged.groupBy("periodo").agg(
+        F.count("*").alias("linhas"), F.sum("valor").alias("royalties"), F.first(F.col("periodo").isin(list(done.changed))).alias("refeito")
+    )
+
+
 @register(
     "refreshed_months",
     O.with_ctes(
@@ -613,7 +636,7 @@ def _(star):
     ),
 )
 def _(star):
-    return quality.over_count(star.status_rows, star.latest_rows, "valor_liquido")
+    return quality.over_count(star.status_rows, ["contrato"], STATUS_ORDER, "valor_liquido")
 
 
 _REPORT = {
@@ -654,7 +677,7 @@ def _(star):
         titulos_corrompidos=(quality.corrupted_titles(star.orchard, "titulo_musica", ["l_partkey"]), []),
         chaves=(keys, ["chave"]),
         deriva_categoria=(ledger.category_drift(star.ledger_entries, star.categories), ["tipo", "grupo", "categoria"]),
-        contagem_dupla=(quality.over_count(star.status_rows, star.latest_rows, "valor_liquido"), ["status"]),
+        contagem_dupla=(quality.over_count(star.status_rows, ["contrato"], STATUS_ORDER, "valor_liquido"), ["status"]),
         preenchimento=(quality.fill_rates(star.artists, "dim_artistas").drop("tipo"), ["tabela", "coluna"]),
     )
 
@@ -785,6 +808,10 @@ def _routed_log(star):
     return routing.route_questions(log, "texto", AS_OF_QUESTIONS, source="fonte_dada")
 
 
+def _log_mix(star):
+    return routing.question_mix(question_log(star.read("orders")), "texto", AS_OF_QUESTIONS, source="fonte_dada")
+
+
 def _routed_messages(star):
     messages = star.read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return routing.route_questions(messages, "text", AS_OF_QUESTIONS)
@@ -802,7 +829,7 @@ def _(star):
 
 @register("routing_mix", O.routing_sql(O.QUESTION_LOG, O.MIX))
 def _(star):
-    return routing.routing_mix(_routed_log(star))
+    return _log_mix(star)
 
 
 @register(
@@ -856,4 +883,4 @@ def _catalogue_values() -> str:
     ),
 )
 def _(star):
-    return catalogue_usage(star.spark, routing.routing_mix(_routed_log(star)))
+    return catalogue_usage(star.spark, _log_mix(star))

@@ -7,10 +7,10 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from cantiga.operators.calendar import build_calendar, with_calendar
+from cantiga.operators.calendar import build_calendar, easter_sunday, with_calendar
 from cantiga.operators.latest import change_counts, latest_per_key, status_changes
 from cantiga.operators.ledger import active_ledger, category_drift
-from cantiga.operators.matching import artist_lookup, artist_matches, match_keyword
+from cantiga.operators.matching import anchored, artist_lookup, artist_matches, match_keyword, name_pieces
 from cantiga.operators.unify import show_branch, unify
 from cantiga.sources.relation import Relation
 
@@ -118,6 +118,58 @@ def test_keyword_match_equals_comparing_all_pairs(spark):
     assert expected["MC Ana & Bia"] == 7
 
 
+def test_names_give_one_piece_for_each_place(spark):
+    """Whatever the lengths of the keywords; only those shorter than a piece add pieces of their own."""
+    names = spark.createDataFrame([("abcdefghij",), ("abcdefghij",), ("xyz",), (None,)], "nome string")
+    none = F.array().cast("array<int>")
+    assert name_pieces(names, none).count() == 7
+    assert name_pieces(names, F.array(F.lit(2))).count() == 7 + 9 + 2
+
+
+def test_keywords_are_anchored_by_their_rarest_piece(spark):
+    names = spark.createDataFrame([(f"customer {i}",) for i in range(20)] + [("customer zeta",)], "nome string")
+    words = spark.createDataFrame([("customer zeta", 1), ("customer", 2), ("tome", 3), ("zz", 4), ("quux customer", 5)], "word string, best int")
+    pieces = name_pieces(names, F.array(F.lit(2)))
+    found = {r.word: r.gram for r in anchored(words, pieces).collect()}
+    # No name has a piece of the last two.
+    assert set(found) == {"customer zeta", "customer", "tome"}
+    assert found["tome"] == "tome" and "z" in found["customer zeta"]
+    by_name = {r.nome: r.id for r in match_keyword(names, words.selectExpr("best as id", "word as keyword")).collect()}
+    assert by_name["customer zeta"] == 1 and by_name["customer 3"] == 2
+
+
+def easter(year):
+    """By the full moons of the lectionary, step by step."""
+    golden = year % 19 + 1
+    century = year // 100 + 1
+    solar, lunar = 3 * century // 4 - 12, (8 * century + 5) // 25 - 5
+    sunday = 5 * year // 4 - solar - 10
+    epact = (11 * golden + 20 + lunar - solar) % 30
+    if epact == 24 or (epact == 25 and golden > 11):
+        epact += 1
+    moon = 44 - epact
+    if moon < 21:
+        moon += 30
+    moon += 7 - (sunday + moon) % 7
+    return date(year, 3, 1) + timedelta(days=moon - 1)
+
+
+def test_easter_of_three_centuries(spark):
+    found = {r.y: r.e for r in spark.range(1900, 2201).select(F.col("id").cast("int").alias("y"), easter_sunday(F.col("id").cast("int")).alias("e")).collect()}
+    assert found == {year: easter(year) for year in range(1900, 2201)}
+    assert (found[2026], found[2024], found[1954], found[2038]) == (date(2026, 4, 5), date(2024, 3, 31), date(1954, 4, 18), date(2038, 4, 25))
+
+
+def test_movable_holidays_and_their_eves(spark):
+    days = {r.data: r for r in calendar(spark).collect()}
+    named = {d: r.nome_feriado for d, r in days.items() if r.nome_feriado in ("Carnaval", "Sexta-feira Santa", "Corpus Christi")}
+    assert named == {date(2026, 2, 16): "Carnaval", date(2026, 2, 17): "Carnaval", date(2026, 4, 3): "Sexta-feira Santa", date(2026, 6, 4): "Corpus Christi"}
+    assert all(days[d].feriado and days[d - timedelta(days=1)].dia_critico for d in named)
+    # In 2000 Good Friday fell on a fixed holiday, whose name goes first.
+    span = spark.createDataFrame([(date(2000, 4, 20), date(2000, 4, 21))], "inicio date, fim date")
+    assert [r.nome_feriado for r in build_calendar(span).orderBy("data").collect()] == [None, "Tiradentes"]
+
+
 def test_keyword_match_without_keywords(spark):
     names = spark.createDataFrame([("Ana",)], "nome string")
     assert match_keyword(names, spark.createDataFrame([], "id int, keyword string")).count() == 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import unicodedata
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -45,6 +46,25 @@ def test_folding_equals_unicode_decomposition(spark):
     assert {r.t: r.f for r in rows} == {t: fold(t) for t in texts}
 
 
+def plain(text):
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def test_folding_of_every_code_point(spark):
+    codes = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    # Letters in lower case are the engine's, whose Unicode version may be another.
+    rows = codes.select(F.lower("c").alias("l"), fold_text(F.col("c")).alias("f")).toPandas()
+    assert len(rows) == 0x110000 - 1 - 2048
+    assert [(a, b) for a, b in zip(rows["l"], rows["f"]) if b != plain(a)] == []
+
+
+def test_folding_of_hangul_among_other_text(spark):
+    texts = ["한국어 노래", "가각힣", "😀한 ÁB ﬁm", "각각각", "ㄱㅏ", "한", "abc\n한\t"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fold_text(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in rows} == {t: plain(t.lower()) for t in texts} == {t: fold(t) for t in texts}
+    assert {r.t: r.f for r in rows}["가각힣"] == "\u1100\u1161\u1100\u1161\u11a8\u1112\u1175\u11c2"
+
+
 def test_folding_keeps_null(spark):
     assert one(spark, fold_text(F.lit(None).cast("string")))[0] is None
 

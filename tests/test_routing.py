@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cantiga import vocabulary as V
 from cantiga.catalog import SOURCES
+from cantiga.plans import routing
 from cantiga.plans.routing import route_questions, routing_mix
 
 TODAY = "2026-06-26"
@@ -195,3 +196,34 @@ def test_dropped_words_change_nothing(spark):
             for word in words:
                 said = {t for k, tags in kept.items() if k in word for t in tags}
                 assert f"{tag} {key}" in said or not word.isascii()
+
+
+def test_equal_questions_are_routed_once(spark):
+    rows = [("Royalties por artista", None, {"origem": "Sony"}), ("Royalties por artista", None, {"origem": "Sony"}), ("Royalties por artista", "omie_detail", None), (None, None, None), (None, None, None)]
+    frame = spark.createDataFrame(rows, "q string, s string, f map<string,string>")
+    distinct = routing.distinct_questions(frame, "q", source="s", filters="f")
+    assert sorted((r.q or "", r.s or "", r.f or {}, r.perguntas) for r in distinct.collect()) == [("", "", {}, 2), ("Royalties por artista", "", {"origem": "Sony"}, 2), ("Royalties por artista", "omie_detail", {}, 1)]
+    mix = routing.question_mix(frame, "q", "2026-06-26", source="s", filters="f")
+    plain = routing.routing_mix(routing.route_questions(frame, "q", "2026-06-26", source="s", filters="f"))
+    assert sorted(mix.collect()) == sorted(plain.collect()) and mix.columns == plain.columns
+    assert {(r.fonte, r.chave): r.perguntas for r in mix.collect()}[("royalty_performance", "royalty_performance")] == 4
+
+
+#: Routes of the fixed sentences, written out: source, metrics, dimensions, start and end.
+PINNED = {
+    "Como foram quantidade e royalties por artista nos ultimos 7 dias?": ("royalty_performance", ["quantity", "royalties"], ["artist", "period"], "2026-06-20", "2026-06-26"),
+    "Mostre royalties da Orchard por tipo de royalty": ("royalty_performance", ["royalties"], ["revenue_type"], None, None),
+    "Quanto foi o custo em fevereiro?": ("omie_detail", ["cost"], ["artist"], None, None),
+    "Quais faixas da Orchard mais tocaram por artista?": ("orchard_detail", ["quantity", "royalties"], ["artist", "track"], None, None),
+    "Como foi a receita no ultimo ano?": ("omie_detail", None, None, "2025-06-27", "2026-06-26"),
+}
+
+
+def test_pinned_routes(spark):
+    frame = spark.createDataFrame([(q,) for q in PINNED], "q string")
+    for row in routing.route_questions(frame, "q", "2026-06-26").collect():
+        source, metrics, dimensions, start, end = PINNED[row.q]
+        assert row.rota_source == source, row
+        assert metrics is None or sorted(row.rota_metrics) == sorted(metrics), row
+        assert dimensions is None or sorted(row.rota_dimensions) == sorted(dimensions), row
+        assert (row.rota_start_date, row.rota_end_date) == (start, end), row

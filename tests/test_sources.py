@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from datetime import date
 from decimal import Decimal
 
@@ -115,7 +116,70 @@ def test_quality_of_an_empty_table(spark):
 
 
 def test_over_count(spark):
-    raw = spark.createDataFrame([("A", Decimal(10)), ("A", Decimal(10)), ("B", Decimal(5)), (None, Decimal(1))], "status string, v decimal(18,4)")
-    latest = spark.createDataFrame([("A", Decimal(10)), (None, Decimal(1))], "status string, v decimal(18,4)")
-    got = {r.status: (r.linhas_brutas, r.valor_bruto, r.linhas_unicas, r.valor_unico) for r in quality.over_count(raw, latest, "v").collect()}
-    assert got == {"A": (2, 20, 1, 10), "B": (1, 5, 0, 0), None: (1, 1, 1, 1)}
+    raw = spark.createDataFrame(
+        [("c1", 1, "A", Decimal(10)), ("c1", 2, "A", Decimal(7)), ("c2", 1, "B", Decimal(5)), ("c2", 2, None, Decimal(1)), ("c3", None, "B", Decimal(3)), ("c3", 1, "A", None), (None, 1, "B", Decimal(2))],
+        "k string, at int, status string, v decimal(18,4)",
+    )
+    counted = quality.over_count(raw, ["k"], ["at"], "v")
+    got = {r.status: (r.linhas_brutas, r.valor_bruto, r.linhas_unicas, r.valor_unico) for r in counted.collect()}
+    assert got == {"A": (3, 17, 2, 7), "B": (3, 10, 1, 2), None: (1, 1, 1, 1)}
+
+
+def test_over_count_reads_its_table_once(spark, tmp_path):
+    spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("at"), F.lit("A").alias("status"), F.col("id").cast("decimal(18,4)").alias("v")).write.parquet(str(tmp_path / "raw"))
+    plan = quality.over_count(spark.read.parquet(str(tmp_path / "raw")), ["k"], ["at"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def files_of(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet") if "_fingerprints" not in str(f)}
+
+
+def test_refresh_touches_only_months_that_differ(spark, tmp_path):
+    path = tmp_path / "mv"
+    rows = [("2024-01", 1, None), ("2024-01", None, 1), ("2024-02", 2, 2), ("2024-03", 3, 3), (None, 4, 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "periodo string, a int, b int").repartition(3)
+    read = lambda: sorted((r.periodo, r.a, r.b) for r in spark.read.schema("a int, b int, periodo string").parquet(str(path)).na.fill("", ["periodo"]).collect())
+    assert sinks.refresh_months(frame(rows), str(path)) == sinks.Refresh(("2024-01", "2024-02", "2024-03", None), (), 0)
+    first = files_of(path)
+    # The same rows in another order are the same month.
+    assert sinks.refresh_months(frame(rows[::-1]), str(path)) == sinks.Refresh((), (), 4)
+    assert files_of(path) == first
+    # A null that moves to the next column is a change; so is a row more.
+    changed = [("2024-01", 1, 1), ("2024-01", None, None), ("2024-03", 3, 3), ("2024-03", 3, 3), (None, 4, 4)]
+    assert sinks.refresh_months(frame(changed), str(path)) == sinks.Refresh(("2024-01", "2024-03"), ("2024-02",), 1)
+    assert not (path / "periodo=2024-02").exists()
+    assert {f: t for f, t in files_of(path).items() if f in first} == {f: t for f, t in first.items() if "HIVE_DEFAULT" in str(f)}
+    assert Counter((r.periodo, r.a, r.b) for r in spark.read.schema("a int, b int, periodo string").parquet(str(path)).collect()) == Counter(changed)
+    assert sinks.refresh_months(frame([r for r in changed if r[0]]), str(path)).vanished == (None,)
+    assert sinks.refresh_months(frame([]), str(path)).vanished == ("2024-01", "2024-03") and files_of(path) == {}
+
+
+def test_refresh_builds_only_changed_months_and_follows_its_lookups(spark, tmp_path):
+    seen = []
+
+    def build(rows):
+        seen.append(sorted(r.periodo for r in rows.select("periodo").distinct().collect()))
+        return rows.withColumn("twice", F.col("a") * 2)
+
+    def refresh(rows, names):
+        frame = spark.createDataFrame(rows, "periodo string, a int")
+        return sinks.refresh_months(frame, str(tmp_path / "mv"), build, depends_on=[spark.createDataFrame(names, "id int, name string")])
+
+    refresh([("m1", 1), ("m2", 2)], [(1, "x")])
+    refresh([("m1", 1), ("m2", 3)], [(1, "x")])
+    assert refresh([("m1", 1), ("m2", 3)], [(1, "x")]) == sinks.Refresh((), (), 2)
+    refresh([("m1", 1), ("m2", 3)], [(1, "y")])
+    assert seen == [["m1", "m2"], ["m2"], ["m1", "m2"]]
+    assert sorted((r.periodo, r.twice) for r in sinks.read_months(spark, str(tmp_path / "mv")).collect()) == [("m1", 2), ("m2", 6)]
+
+
+def test_refresh_that_broke_off_is_done_again(spark, tmp_path):
+    frame = spark.createDataFrame([("m1", 1)], "periodo string, a int")
+
+    def broken(rows):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        sinks.refresh_months(frame, str(tmp_path / "mv"), broken)
+    assert sinks.refresh_months(frame, str(tmp_path / "mv")).changed == ("m1",)
