@@ -54,6 +54,11 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))
 
 
+def drawn(salt: str, rows: int, of: int) -> Column:
+    """True for about ``rows`` of ``of`` rows, told apart by id and text, so that null and repeated ids are drawn row by row."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, of)))
+
+
 def per_text(documents: DataFrame, keep: list[str], adds: dict[str, str], each: Callable[[pa.Array], list[pa.Array]], text: str = "text") -> DataFrame:
     """The columns ``keep`` and the columns ``adds`` (name: type) that ``each`` makes of the texts of a batch."""
     kept = documents.select(*[F.col(f"`{c}`") for c in keep]).schema

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantiga.llm.common import drawn
 from cantiga.llm.text_stats import COUNTS, SHARES, shares, with_counts
 
 
@@ -38,7 +39,7 @@ class Threshold:
 
 @dataclass(frozen=True)
 class ListSettings:
-    #: Labelled rows that are fitted on, at most about; taken by the hash of the id.
+    #: Labelled rows that are fitted on, at most about; taken by the hash of id and text, copies once.
     fit_rows: int = 60_000
     #: A rule is accepted when so large a share of what it covers of the pruning rows is bad.
     precision: float = 0.98
@@ -147,17 +148,19 @@ def fit(documents: DataFrame, labels: DataFrame, settings: ListSettings = ListSe
     labels do not count.  Without labels of both kinds the list is empty.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = documents.select("doc_id").join(known, "doc_id").count()
+    texts = documents.select("doc_id", "text")
+    n = texts.select("doc_id").join(known, "doc_id").count()
     if not n:
         return []
-    # The sample is drawn before texts are joined or counted.
-    share = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20))
-    drawn = share < int((1 << 20) * min(1.0, settings.fit_rows / n))
-    sample = documents.select("doc_id", "text").where(drawn).join(known.where(drawn), "doc_id")
+    # The labels of the drawn rows are fetched by their ids.  That side has a row for each drawn labelled row at most,
+    # about fit_rows, so it is sent to the texts, and no text is shuffled.
+    picked = texts.where(drawn("fit", settings.fit_rows, n))
+    ids = picked.select("doc_id").join(known, "doc_id").distinct()
     prunes = F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0
-    counted = with_counts(sample.withColumn("prunes", prunes), ["quality", "prunes"])
+    counted = with_counts(picked.join(F.broadcast(ids), "doc_id").withColumn("prunes", prunes), ["doc_id", "quality", "prunes"])
+    # Copies of a row count once: they are drawn together, and may be any number.
     # The order of the rows decides nothing but ties of sums; it is fixed all the same.
-    rows = counted.toPandas().sort_values([*COUNTS, "quality", "prunes"], kind="stable")
+    rows = counted.distinct().toPandas().sort_values([*COUNTS, "quality", "prunes"], kind="stable")
     values = shares({c: rows[c].to_numpy() for c in COUNTS})
     return learn(values, rows["quality"].to_numpy() == 0, rows["prunes"].to_numpy(bool), settings)
 
