@@ -4,19 +4,24 @@ The standard library's parser streams its events into blocks, the "lines" of
 a page.  Each has a ratio of characters to tags; the ratios are smoothed with a
 Gaussian along the page, and lines over the page's standard deviation are
 content.  The regions such lines lie in are kept whole, so that a short
-paragraph goes with its article.  Lines in menus, headers, footers, sidebars,
+paragraph goes with its article; so are short regions beside them in one
+element that are not mostly links.  Lines in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are never
-content, and where a page marks its article, nothing outside is.  A class, id or
-role only marks such a part by a token that names it, and not on an element that
-turns out to hold the article or most of the page's text.
+content.  Where the elements that a page marks as articles hold most of its
+content, nothing outside is, nor are articles that hold little beside the
+largest; where they hold less than what is outside, they are teasers.  A class,
+id or role only marks a part by a token that names it, and not on an element
+that turns out to hold the article or most of the page's text; nor does a form
+with most of the text in paragraphs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_NOT_TEXT = frozenset("aside button dialog footer form head header iframe math menu nav noscript object script select style svg template textarea title".split())
+_NOT_TEXT = frozenset("aside button dialog footer head header iframe math menu nav noscript object script select style svg template textarea title".split())
 _ARTICLE = frozenset(("article", "main"))
 _NEVER_MARKED = frozenset(("html", "body", "main", "article"))
 #: Words of class, id and role that mark what is not the article.
@@ -54,7 +59,11 @@ _MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Where the search for an element to close stops.
 _SCOPES = frozenset("article aside body div footer form header main nav section table td th ul ol dl blockquote".split())
+#: What a form around an article has, and one to fill in has not.
+_PROSE = frozenset("p h1 h2 h3 article main".split())
 SIGMA = 2.0
+#: An article counts beside the largest if it holds this share of its content.
+BESIDE = 0.25
 
 
 def mark_of(value: str, in_article: bool) -> str | None:
@@ -74,33 +83,93 @@ def mark_of(value: str, in_article: bool) -> str | None:
 class Line:
     text: str
     tags: int
+    #: Characters that are in links.
+    linked: int
     #: Which region of the page it lies in; -1 in what is never content.
     region: int
-    in_article: bool
-    #: The marked elements around it.
-    marks: tuple[int, ...] = ()
+    #: Which of the elements marked as articles it lies in; 0 outside.
+    article: int
+    #: The innermost marked element around it; -1 for none.
+    mark: int = -1
+
+
+class _Open(NamedTuple):
+    tag: str
+    #: Left out of the text.
+    out: bool
+    region: int
+    article: int
+    mark: int
+    in_link: bool
+
+
+@dataclass
+class _Mark:
+    """An element that a class, id, role or its tag marks as no part of the article."""
+
+    name: str
+    #: The marked element around it.
+    parent: int
+    #: It holds the article, by its tags.
+    holds: bool = False
+    prose: bool = False
 
 
 class _Lines(HTMLParser):
-    """The lines of a page, in order."""
+    """The lines of a page, in order; time grows with the page, however its tags nest."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]  # tag, left out, region, in an article, marks
-        #: Of each marked element its mark, and whether it holds the article by its tags.
-        self.marks: list[str] = []
-        self.holds: list[bool] = []
+        self._open = [_Open("", False, 0, 0, -1, False)]
+        #: Where the open elements of a name lie, and those at which searches stop.
+        self._at: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
+        self.marks: list[_Mark] = []
+        #: The region around each region; 0 is the page, and so are bodies.
+        self.around = [0]
         self._text: list[str] = []
-        self._tags, self._regions = 0, 0
+        self._tags, self._linked, self._articles = 0, 0, 0
+        self._unclosed: dict[str, int] = {}
+
+    def read(self, html: str) -> None:
+        # A tag that is not closed at the end is none, and would be looked for again from each "<".
+        end = html.rfind(">") + 1
+        self.feed(html[:end] + html[end:].partition("<")[0])
+        self._unclosed.clear()
+        self.close()
+        self.flush()
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._closed("comment", i, lambda: super(_Lines, self).parse_comment(i, report))
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        def parse() -> int:
+            try:
+                return super(_Lines, self).parse_marked_section(i, report)
+            except AssertionError:
+                # A section of no known kind is a comment.
+                return self.parse_bogus_comment(i)
+
+        return self._closed("section", i, parse)
+
+    def _closed(self, kind: str, i: int, parse: Callable[[], int]) -> int:
+        """What has no end from one place on has none from a later one, and is not searched again."""
+        if i >= self._unclosed.get(kind, i + 1):
+            return -1
+        k = parse()
+        if k < 0:
+            self._unclosed[kind] = i
+        return k
 
     def flush(self) -> None:
         text = " ".join("".join(self._text).split())
-        _, out, region, article, marks = self._open[-1]
+        top = self._open[-1]
         if text:
-            self.lines.append(Line(text, self._tags, -1 if out else region, article, marks))
+            self.lines.append(Line(text, self._tags, min(self._linked, len(text)), -1 if top.out else top.region, top.article, top.mark))
             self._tags = 0
         self._text.clear()
+        self._linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCKS:
@@ -111,25 +180,35 @@ class _Lines(HTMLParser):
                 self._text.append(" " if tag == "br" else "")
             return
         if tag in _CLOSES:
-            self._close(_CLOSES[tag], _SCOPES)
-        _, out, region, article, marks = self._open[-1]
+            last = self._last(_CLOSES[tag])
+            if last and last >= (self._scopes[-1] if self._scopes else 0):
+                self._cut(last)
+        _, out, region, article, mark, in_link = self._open[-1]
         # The header of an article holds its title.
         out = out or (tag in _NOT_TEXT and not (tag == "header" and article))
-        if not out and (tag == "main" or (tag == "h1" and any(x[0] == "article" for x in self._open))):
-            for i in marks:
-                self.holds[i] = True
+        if not out and mark >= 0:
+            if tag == "main" or (tag == "h1" and self._at.get("article")):
+                self.marks[mark].holds = True
+            self.marks[mark].prose |= tag in _PROSE
         if tag not in _NEVER_MARKED and not (tag == "header" and article):
             values = " ".join(value for name, value in attrs if name in ("class", "id", "role") and value)
-            mark = mark_of(values, article) if values else None
-            if mark:
-                marks = (*marks, len(self.marks))
-                self.marks.append(mark)
-                self.holds.append(False)
-        article = article or (tag in _ARTICLE and not out)
+            name = (mark_of(values, bool(article)) if values else None) or ("form" if tag == "form" else None)
+            if name:
+                self.marks.append(_Mark(name, mark))
+                mark = len(self.marks) - 1
+        if tag in _ARTICLE and not out and not article:
+            self._articles += 1
+            article = self._articles
         if tag in _ARTICLE or (tag in ("section", "div", "td", "body") and not article):
-            self._regions += 1
-            region = self._regions
-        self._open.append((tag, out, region, article, marks))
+            if tag == "body":
+                region = 0
+            else:
+                self.around.append(region)
+                region = len(self.around) - 1
+        self._at.setdefault(tag, []).append(len(self._open))
+        if tag in _SCOPES:
+            self._scopes.append(len(self._open))
+        self._open.append(_Open(tag, out, region, article, mark, in_link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # A slash at the end of a tag that is not void has no meaning.
@@ -139,42 +218,67 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             self.flush()
         self._tags += 1
-        self._close((tag,), frozenset())
+        last = self._last((tag,))
+        if last:
+            self._cut(last)
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these; 0 without one."""
+        return max((self._at[tag][-1] for tag in tags if self._at.get(tag)), default=0)
 
-    def _close(self, tags: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] in tags:
-                del self._open[i:]
-                return
-            if self._open[i][0] in scopes:
-                return
+    def _cut(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        for closed in self._open[place:]:
+            self._at[closed.tag].pop()
+        del self._open[place:]
+        while self._scopes and self._scopes[-1] >= place:
+            self._scopes.pop()
 
     def handle_data(self, data: str) -> None:
-        if self._open[-1][1] and self._open[-1][0] in ("script", "style"):
+        top = self._open[-1]
+        if top.out and top.tag in ("script", "style"):
             return
         self._text.append(data)
+        if top.in_link:
+            self._linked += len(data)
 
 
-def lines(html: str) -> list[Line]:
+def lines(html: str) -> tuple[list[Line], list[int]]:
+    """The lines of a page, those where a mark holds out of every region, and the region around each region."""
     parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return _without_marked(parser)
+    parser.read(html)
+    return _without_marked(parser), parser.around
 
 
 def _without_marked(parser: _Lines) -> list[Line]:
-    """The lines, out of every region where a mark holds."""
-    standing = [not holds for holds in parser.holds]
-    sure = {i for i, mark in enumerate(parser.marks) if mark in _SURE and standing[i]}
-    shown = [x for x in parser.lines if x.region >= 0 and sure.isdisjoint(x.marks)]
-    inside = [0] * len(standing)
+    marks = parser.marks
+    inner_first = range(len(marks) - 1, -1, -1)
+    for i in inner_first:
+        if marks[i].parent >= 0:
+            above = marks[marks[i].parent]
+            above.holds |= marks[i].holds
+            above.prose |= marks[i].prose
+
+    def within(stands: list[bool]) -> list[bool]:
+        """Whether a mark or one around it stands; the last entry is for lines without one."""
+        out = []
+        for mark, own in zip(marks, stands):
+            out.append(own or (mark.parent >= 0 and out[mark.parent]))
+        return [*out, False]
+
+    sure = [m.name in _SURE and not m.holds for m in marks]
+    left_out = within(sure)
+    shown = [x for x in parser.lines if x.region >= 0 and not left_out[x.mark]]
+    inside = [0] * (len(marks) + 1)
     for line in shown:
-        for i in line.marks:
-            inside[i] += len(line.text)
+        inside[line.mark] += len(line.text)
+    for i in inner_first:
+        if marks[i].parent >= 0:
+            inside[marks[i].parent] += inside[i]
     half = sum(len(x.text) for x in shown) / 2
-    standing = [s and (i in sure or inside[i] <= half) for i, s in enumerate(standing)]
-    return [replace(x, region=-1) if any(standing[i] for i in x.marks) else x for x in parser.lines]
+    stands = [s or (not m.holds and (inside[i] <= half or (m.name == "form" and not m.prose))) for i, (m, s) in enumerate(zip(marks, sure))]
+    gone = within(stands)
+    return [replace(x, region=-1) if gone[x.mark] else x for x in parser.lines]
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -185,18 +289,52 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[cut] / np.convolve(np.ones(len(ratios)), kernel)[cut]
 
 
+def _articles(found: list[Line], dense: list[bool]) -> set[int]:
+    """The articles that are content by the characters of their dense lines; 0 for what is outside."""
+    holds: dict[int, int] = {}
+    for line, is_dense in zip(found, dense):
+        if line.region >= 0:
+            holds[line.article] = holds.get(line.article, 0) + (len(line.text) if is_dense else 0)
+    outside = holds.pop(0, 0)
+    if not holds or outside > sum(holds.values()):
+        return {0}
+    return {a for a, n in holds.items() if n >= BESIDE * max(holds.values())}
+
+
+def _content(found: list[Line], dense: list[bool], candidates: list[bool], around: list[int]) -> set[int]:
+    """The regions that are content.
+
+    Those with a dense line, and those that go with them: in an element that has
+    dense lines of its own or two such parts.  What is mostly links is neither,
+    where anything else is.
+    """
+    size: dict[int, list[int]] = {}
+    for line, candidate in zip(found, candidates):
+        if candidate:
+            of = size.setdefault(line.region, [0, 0])
+            of[0] += len(line.text)
+            of[1] += line.linked
+    has_dense = {x.region for x, d, c in zip(found, dense, candidates) if d and c} or set(size)
+    prose = {r for r, (n, linked) in size.items() if 2 * linked < n}
+    regions = has_dense & prose or has_dense
+    parts: dict[int, int] = {}
+    for region in regions:
+        parts[around[region]] = parts.get(around[region], 0) + 1
+    return regions | {r for r in prose if around[r] and (around[r] in regions or parts.get(around[r], 0) > 1)}
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article of a page, a block a line; empty for null and for pages without text."""
     if not html:
         return ""
-    found = lines(html)
-    article = any(x.in_article and x.region >= 0 for x in found)
-    candidates = [x.region >= 0 and (x.in_article or not article) for x in found]
-    if not any(candidates):
+    found, around = lines(html)
+    if not any(x.region >= 0 for x in found):
         return ""
     ratios = smoothed(np.array([len(x.text) / max(1, x.tags) if x.region >= 0 else 0.0 for x in found]), sigma)
-    dense = ratios >= ratios.std()
-    regions = {x.region for x, d, c in zip(found, dense, candidates) if d and c} or {x.region for x, c in zip(found, candidates) if c}
+    dense = (ratios >= ratios.std()).tolist()
+    articles = _articles(found, dense)
+    candidates = [x.region >= 0 and x.article in articles for x in found]
+    regions = _content(found, dense, candidates, around)
     return "\n".join(x.text for x, c in zip(found, candidates) if c and x.region in regions)
 
 

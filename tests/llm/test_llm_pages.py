@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import time
 from html import unescape
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cantiga.llm import html_text, sharding, url_templates
@@ -74,6 +77,51 @@ def test_a_word_of_a_class_does_not_take_the_article(html):
     assert html_text.main_text(html) == STORY
 
 
+LONG = "The story is told here at length, and goes on for a while longer than that. " * 3
+PARTS = "".join(f"<div><p>{LONG}</p></div>" for _ in range(3))
+LINKS = "".join(f"<li><a href=x>See also this page {i}</a>" for i in range(6))
+TOLD = "\n".join([LONG.strip()] * 3)
+LOST = [
+    # Teasers in <article> below a story that is in none.
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><article><a href=x>More of this</a></article><article><a href=y>And of that</a></article></body>", TOLD),
+    # The same, in the article of the page.
+    (f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><a href=x>More of this</a></article><div>Outside</div>", TOLD),
+    # Two articles of one kind.
+    (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article><article><p>{LONG}</p></article>", TOLD),
+    # A form around the page, and one to fill in.
+    (f"<body><form action=x><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></form></body>", TOLD),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><form>Your name <input><button>Send</button></form></div></body>", TOLD),
+    ("<body><form>Your name <input>Your word <input></form></body>", ""),
+    # A short last paragraph in an element of its own, after a list of links.
+    (f"<body><div id=story>{PARTS}<div><ul>{LINKS}</ul></div><div>The end.</div></div><div>Imprint</div></body>", f"{TOLD}\nThe end."),
+]
+
+
+@pytest.mark.parametrize("html, text", LOST)
+def test_articles_that_tags_do_not_give_away(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "piece", ["<b>x</i>", "<p><div><b></p><p>", "<div class=ad>x", "<li><b>x", "</p><p>", "<article><h1>x", "<form><td>x<td>", "<a href='x'>y</b>", "<", "&#", "<!--", "<!--x>", "<![CDATA[x>", "<![x>", "<!x", "<?x", "<a ", "<a b='", "</b ", "<script>", "<script><", "&amp", "<div><b>"]
+)
+def test_broken_markup_takes_time_that_grows_with_the_page(piece):
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_text(piece * n)
+        return time.process_time() - began
+
+    n = 20_000 // len(piece)
+    few, many = min(seconds(n) for _ in range(2)), seconds(8 * n)
+    assert many < 3 or many < 24 * few, (few, many)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<![", "<!--", "-->", "]]>", "<", ">", "</", "<p>", "</p>", "<b>", "<form>", "</form>", "<article>", "<div class=ad>", "</div>", "<td>", "<script>", "</script>", "x y", "&#", "&amp;", "<?", "<!x", "'", '"', "=", "<a href='", "\0", "\ud800"]), max_size=30))
+def test_broken_markup_is_read(pieces):
+    assert isinstance(html_text.main_text("".join(pieces)), str)
+
+
 def test_main_text_of_a_very_long_page_and_odd_rows(spark):
     long = "<article>" + "<p>Some words of a paragraph.</p>" * 30_000 + "</article>"
     pages = spark.createDataFrame([(1, None, None, "c"), (None, "u", long, None), (2, "u", "<p>a", "c"), (2, "u", "<p>a", "c")], "page_id long, url string, html string, text string")
