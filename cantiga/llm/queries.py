@@ -50,7 +50,7 @@ def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:

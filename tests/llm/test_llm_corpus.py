@@ -21,7 +21,7 @@ from cantiga.llm.common import Stored
 from cantiga.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -269,6 +269,30 @@ def test_packing_goes_to_the_cheapest_sequence():
     assert len({k for d, k in found if d in (1, 3)}) == 2
 
 
+def test_packing_looks_at_every_sequence():
+    """Against a search of all sequences for the cheapest with room; more documents than any bound on the search are cut without it."""
+    draw = random.Random(2)
+    lengths = [draw.randint(1, 1200) for _ in range(1500)]
+    rooms = [2048] * (sum(lengths) // 2048)
+    rooms += [1 << bit for bit in range(11, -1, -1) if sum(lengths) % 2048 >> bit & 1]
+    left, cost, cut = list(rooms), [0.0] * len(rooms), set()
+    for length, document in sorted(((n, d) for d, n in enumerate(lengths)), key=lambda x: (-x[0], x[1])):
+        best = min(((cost[k], -left[k], k) for k in range(len(rooms)) if left[k] >= length), default=None)
+        if best is None:
+            cut.add(document)
+        else:
+            left[best[2]] -= length
+            cost[best[2]] += length + length * length / 1024
+    parts = Counter(document for document, *_ in packing.pack(lengths, 2048))
+    assert {d for d, n in parts.items() if n > 1} <= cut and max(parts[d] for d in parts if d not in cut) == 1
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 500_000 + "x", "a" * 200_000, "ab" * 4000 + " " * 9000 + "!" * 9000, " " * 8191 + "y"])
+def test_long_runs_have_the_ids_of_the_tokenizer_file(text):
+    tokenizer = Tokenizer.from_file(RANKS[1])
+    assert packing.encoder(*RANKS)(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_query_by_the_tokenizer_file(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -294,7 +318,7 @@ def test_packed_query_by_the_tokenizer_file(spark):
 def test_packing_of_odd_rows(spark):
     rows = [(None, None, 1), (1, "", 1), (2, "a<|endoftext|>b", 1), (2, "a<|endoftext|>b", 1), (3, "long text " * 40_000, 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, length int").coalesce(1)
-    found = packing.pack_documents(frame, RANKS, with_ids=True).collect()
+    found = packing.pack_documents(frame, *RANKS, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = defaultdict(list)
     for r in sorted(found, key=lambda r: r.start):
@@ -303,7 +327,7 @@ def test_packing_of_odd_rows(spark):
     want = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t, _ in rows}
     want[2] = want[2] * 2
     assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
-    assert packing.pack_documents(frame.limit(0), RANKS).count() == 0
+    assert packing.pack_documents(frame.limit(0), *RANKS).count() == 0
 
 
 def test_pipeline_stages(spark):
