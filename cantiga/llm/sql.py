@@ -24,50 +24,55 @@ def _fits(rule: Rule) -> str:
 
 
 def urls_sql(rules: list[Rule], s: TreeSettings) -> str:
-    """The tree level by level; each level is a few common table expressions."""
+    """The tree level by level, as one recursion over all paths."""
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     rule = " ".join(f"WHEN {_fits(r)} THEN '{r.text}'" for r in ordered)
     verdict = " ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in ordered)
-    segments = ", ".join(f"coalesce(parts[{i + 1}], '') AS s{i}" for i in range(s.levels))
-    steps = [
-        "after AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages)",
-        "parted AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, "
-        "regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM after)",
-        "known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1)",
-        "urls AS (SELECT page_id, host, path, good, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM parted LEFT JOIN known ON doc_id = page_id)",
-        f"p0 AS (SELECT *, len(parts) > {s.levels} AS deeper, {segments} FROM urls)",
-    ]
-    for i in range(s.levels):
-        above = ", ".join(["host", *[f"t{k}" for k in range(i)]])
-        same = " AND ".join(f"p.{c} = k.{c}" for c in ["host", *[f"t{k}" for k in range(i)], f"s{i}"])
-        steps += [
-            f"kept{i} AS (SELECT {above}, s{i} FROM (SELECT {above}, s{i}, count(*) AS n, sum(count(*)) OVER (PARTITION BY {above}) AS all_n FROM p{i} "
-            f"WHERE s{i} <> '' GROUP BY {above}, s{i}) WHERE n >= {s.least_rows} AND n >= {s.least_share}::DOUBLE * all_n)",
-            f"p{i + 1} AS (SELECT p.*, CASE WHEN p.s{i} = '' THEN '' WHEN k.host IS NOT NULL THEN p.s{i} ELSE '*' END AS t{i} FROM p{i} p LEFT JOIN kept{i} k ON {same})",
-        ]
-    kinds = ", ".join(f"t{i}" for i in range(s.levels))
-    steps.append(f"z0 AS (SELECT host, deeper, {kinds}, coalesce(sum(good), 0) AS good, count(good) AS labelled FROM p{s.levels} GROUP BY host, deeper, {kinds})")
-    for i in range(s.levels):
-        above = ", ".join(["host", *[f"m{k}" for k in range(i)]])
-        same = " AND ".join(f"z.{c} = a.{c}" for c in ["host", *[f"m{k}" for k in range(i)], f"t{i}"])
-        steps += [
-            f"b{i} AS (SELECT {above}, t{i}, sum(good)::DOUBLE AS g, sum(labelled)::DOUBLE AS l FROM z{i} WHERE t{i} NOT IN ('', '*', '**') GROUP BY {above}, t{i})",
-            f"n{i} AS (SELECT {above}, sum(good)::DOUBLE AS all_g, sum(labelled)::DOUBLE AS all_l FROM z{i} WHERE t{i} <> '' GROUP BY {above})",
-            f"r{i} AS (SELECT *, (all_g + 1.0::DOUBLE) / (all_l + 2.0::DOUBLE) AS p FROM b{i} JOIN n{i} USING ({above}))",
-            f"a{i} AS (SELECT {above}, t{i} FROM r{i} WHERE l > 0 AND all_l > l "
-            f"AND abs(g / l - (all_g - g) / (all_l - l)) >= {s.z}::DOUBLE * sqrt(p * (1.0::DOUBLE - p) * (1.0::DOUBLE / l + 1.0::DOUBLE / (all_l - l))))",
-            f"z{i + 1} AS (SELECT z.*, CASE WHEN z.t{i} IN ('', '**') OR a.host IS NOT NULL THEN z.t{i} ELSE '*' END AS m{i} FROM z{i} z LEFT JOIN a{i} a ON {same})",
-        ]
-    merged, last = ", ".join(f"m{i}" for i in range(s.levels)), f"z{s.levels}"
     weight = f"{s.weight}::DOUBLE"
-    steps += [
-        f"prior AS (SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS prior FROM {last})",
-        f"hosts AS (SELECT host, (sum(good) + {weight} * any_value(prior)) / (sum(labelled) + {weight}) AS host_rate FROM {last}, prior GROUP BY host)",
-        f"pure AS (SELECT host, {merged}, deeper, (sum(good) + {weight} * any_value(host_rate)) / (sum(labelled) + {weight}) AS purity FROM {last} JOIN hosts USING (host) GROUP BY host, {merged}, deeper)",
-        f"named AS (SELECT host, deeper, {kinds}, '/' || array_to_string(list_filter([{merged}, CASE WHEN deeper THEN '**' ELSE '' END], lambda x: x <> ''), '/') AS template, purity "
-        f"FROM {last} JOIN pure USING (host, {merged}, deeper))",
-    ]
-    return (
-        f"WITH {', '.join(steps)} SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN purity < {s.purity}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, template, purity "
-        f"FROM p{s.levels} JOIN named USING (host, deeper, {kinds})"
+    return f"""
+    WITH RECURSIVE after AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages
+    ), parted AS (
+        SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM after
+    ), known AS (
+        SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1
+    ), urls AS (
+        SELECT page_id, host, path, good FROM parted LEFT JOIN known ON doc_id = page_id
+    ), walk AS (
+        SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, count(*) AS n, coalesce(sum(good), 0)::BIGINT AS good, count(good) AS labelled,
+            '' AS node, 0 AS last, 0 AS level
+        FROM urls GROUP BY host, path
+        UNION ALL
+        SELECT host, path, parts, n, good, labelled, node || '/' || CASE WHEN apart THEN segment ELSE '*' END, CASE WHEN apart THEN level + 1 ELSE last END, level + 1
+        FROM (
+            SELECT *, all_n > {s.least_rows} AND all_g > 0 AND all_l > all_g AS is_open,
+                segment NOT IN ('*', '**') AND of_n >= {s.least_rows} AND l > 0 AND all_l > l
+                AND abs(g / l - (all_g - g) / (all_l - l)) >= {s.z}::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled) * (1.0::DOUBLE / l + 1.0::DOUBLE / (all_l - l))) AS apart
+            FROM (
+                SELECT *, (all_g + 1.0::DOUBLE) / (all_l + 2.0::DOUBLE) AS pooled FROM (
+                    SELECT *, sum(n) OVER at_node AS all_n, (sum(good) OVER at_node)::DOUBLE AS all_g, (sum(labelled) OVER at_node)::DOUBLE AS all_l,
+                        sum(n) OVER at_branch AS of_n, (sum(good) OVER at_branch)::DOUBLE AS g, (sum(labelled) OVER at_branch)::DOUBLE AS l
+                    FROM (SELECT *, parts[level + 1] AS segment FROM walk WHERE len(parts) > level)
+                    WINDOW at_node AS (PARTITION BY host, node), at_branch AS (PARTITION BY host, node, segment)
+                )
+            )
+        ) WHERE is_open
+    ), settled AS (
+        SELECT *, list_filter(string_split(node, '/'), lambda x: x <> '') AS tokens, greatest(last, least(len(parts), {s.levels})) AS shown
+        FROM walk QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY level DESC) = 1
+    ), named AS (
+        SELECT host, path, good, labelled, '/' || array_to_string(list_concat(
+            list_concat(tokens, list_transform(range(len(parts) - len(tokens)), lambda i: '*'))[:shown], CASE WHEN len(parts) > shown THEN ['**'] ELSE [] END), '/') AS template
+        FROM settled
+    ), of_template AS (
+        SELECT host, template, sum(good)::DOUBLE AS good, sum(labelled)::DOUBLE AS labelled FROM named GROUP BY host, template
+    ), prior AS (
+        SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS prior FROM of_template
+    ), hosts AS (
+        SELECT host, (sum(good) + {weight} * any_value(prior)) / (sum(labelled) + {weight}) AS host_rate FROM of_template, prior GROUP BY host
+    ), pure AS (
+        SELECT host, template, (good + {weight} * host_rate) / (labelled + {weight}) AS purity FROM of_template JOIN hosts USING (host)
     )
+    SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN purity < {s.purity}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, template, purity
+    FROM urls JOIN named USING (host, path) JOIN pure USING (host, template)
+    """

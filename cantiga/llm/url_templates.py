@@ -39,8 +39,6 @@ class TreeSettings:
     levels: int = 3
     #: A segment can be kept apart when so many URLs of its node have it.
     least_rows: int = 5
-    #: Read by the SQL only, which also wants such a share of the node's URLs and stops after ``levels``.
-    least_share: float = 0.02
     #: A branch is kept apart when its labels differ from its siblings' by so many standard errors.
     z: float = 1.96
     #: Labels that the smoothing adds.

@@ -6,6 +6,7 @@ import re
 import time
 from html import unescape
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -181,6 +182,25 @@ def test_branches_of_any_share_and_depth_are_kept_apart(spark):
     assert {"/small/*", "/s7/*", "/*/*/*/bad/**", "/*/*/*/fine/**", "/*/*/*/*/*/bad/**", "/*/*/*/*/*/fine/**"} <= templates
 
 
+def test_sql_of_the_urls_far_down_and_among_small_shares(spark, tmp_path):
+    """The SQL follows the query beyond three segments and below 2 % of a node."""
+    paths = [("a.org", f"/small/{i}", 0) for i in range(20)] + [("a.org", f"/large/{i}", 1) for i in range(1980)]
+    paths += [("b.org", f"/s{i % 60}/{i}", int(i % 60 != 7)) for i in range(1800)]
+    paths += [("c.org", f"/x/y/z/{'bad' if i % 2 else 'fine'}/{i}", 1 - i % 2) for i in range(200)]
+    paths += [("d.org", f"/x/y/u/{i // 4}/k/{'bad' if i % 2 else 'fine'}/{i}", 1 - i % 2) for i in range(200)]
+    paths += [("d.org", f"//*/{i % 3}//", i % 2) for i in range(60)] + [("e.org", "", None), ("e.org", "/", 1), ("www.example.com", "/en/1", 0)]
+    rows = [(i, f"http://{host}{path}?q", good) for i, (host, path, good) in enumerate(paths)] + [(5, None, 1), (None, "http://a.org/small/1", None)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    connection = duckdb.connect()
+    for name in ("pages", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    good, text = compare(spark, connection, str(tmp_path), "op9_url_verdicts", QUERIES["op9_url_verdicts"], ORACLE["op9_url_verdicts"])
+    assert good, text
+    assert QUERIES["op9_url_verdicts"](spark, str(tmp_path)).where("template LIKE '/*/*/*/bad%' OR template LIKE '/small%'").count() == 121
+
+
 def test_urls_are_judged_without_python(spark):
     plan = QUERIES["op9_url_verdicts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
