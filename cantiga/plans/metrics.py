@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cantiga.catalog import Dimension, Metric, approved_source, check_keys
 from cantiga.functions.months import days_between_months, months_between
@@ -42,6 +43,18 @@ def _equal_ignoring_case(dimension: Dimension, value: object) -> Column:
     return F.lower(dimension.value().cast("string")) == F.lower(F.lit(str(value)))
 
 
+def spellings(frame: DataFrame, column: str, value: object, most: int = 256) -> list[str] | None:
+    """The values of a text column that equal ``value`` but for case; None where there are more than ``most``.
+
+    Reads that column only.
+    """
+    if not isinstance(frame.schema[column].dataType, StringType):
+        return None
+    same = frame.select(F.col(column).alias("v")).where(F.lower("v") == F.lower(F.lit(str(value)))).distinct()
+    found = [r.v for r in same.limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
 def _zero_for_counts(metric: Metric, total: Column) -> Column:
     return F.coalesce(total, F.lit(0)) if metric.counts_rows else total
 
@@ -54,11 +67,16 @@ def metric_query(
     date_range: tuple[str | None, str | None] | None = None,
     filters: Mapping[str, object] | None = None,
     limit: int | None = DEFAULT_LIMIT,
+    find_spellings: bool = False,
 ) -> MetricResult:
     """Sum ``metrics`` by ``dimensions``, ordered by the dimensions, first ``limit`` rows.
 
     ``date_range`` holds ISO days and is cut to months.  A filter on a key the
     source does not have is ignored and reported.  ``limit=None`` keeps all rows.
+    ``find_spellings`` first reads the column of a text filter for the ways its
+    value is written; the query then asks for these, which a scan can skip row
+    groups by, where ``lower()`` of a column reads them all.  It pays on wide
+    tables that are clustered by the column.
 
     Rows are summed by the lookup keys before anything is looked up: a key that
     holds a third of the table is one row per task by the time it is joined.
@@ -82,7 +100,9 @@ def metric_query(
     frame = relation.base
     for dimension, value in conditions:
         if in_base(dimension):
-            frame = frame.where(_equal_ignoring_case(dimension, value))
+            # A dimension made from a date has no spellings.
+            found = spellings(relation.base, dimension.inputs[0], value) if find_spellings and dimension.day is None else None
+            frame = frame.where(_equal_ignoring_case(dimension, value) if found is None else F.col(dimension.inputs[0]).isin(found))
     period = spec.dimensions.get("period")
     if period is not None and date_range is not None:
         for bound in _month_filter(relation, period, *date_range):

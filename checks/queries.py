@@ -74,6 +74,8 @@ metric("royalties_of_one_label_any_case", "royalty_performance", ["royalties"],
        "lower(gravadora) = 'machinery'", filters={"gravadora": "mAcHiNeRy"})
 metric("royalties_of_one_origin_any_case", "royalty_performance", ["royalties"], ["period"],
        "lower(origem) = 'warner music'", filters={"origem": "WARNER music"})
+metric("lines_of_one_platform_by_its_spellings", "orchard_detail", ["royalties", "quantity"], ["period", "territory"],
+       "lower(platform) = 'brand#12'", filters={"platform": "bRAND#12"}, find_spellings=True)
 metric("filter_on_foreign_key_ignored", "royalty_performance", ["royalties"], ["origem"],
        filters={"track": "red gear", "no_such_key": "x"})
 metric("filter_with_quote", "orchard_detail", ["royalties", "quantity"], ["track", "territory"], "lower(track) = 'sol d''ouro'",

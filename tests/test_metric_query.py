@@ -6,7 +6,9 @@ from decimal import Decimal
 
 import pytest
 
-from cantiga.plans.metrics import metric_query
+from pyspark.sql import functions as F
+
+from cantiga.plans.metrics import metric_query, spellings
 from cantiga.sources.registry import Registry, gravadora_lookup, jdbc_options, parquet_reader, table_registry
 from cantiga.sources.relation import Relation
 
@@ -219,3 +221,40 @@ def test_rows_without_a_key_are_spread_over_tasks(spark):
     assert max(r["count"] for r in sizes) < 20_000 / 4
     assert joined.columns == ["k", "v", "name"]
     assert joined.count() == 20_000 and joined.where("name = concat('n', k)").count() == 400
+
+
+def rows_scanned(frame):
+    """Rows that the scans of an executed plan gave out."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+    def walk(node):
+        node = node.plan() if "QueryStage" in node.nodeName() else node
+        own = node.metrics().get("numOutputRows").get().value() if node.nodeName().startswith("Scan parquet") else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(plan)
+
+
+def test_spellings_let_the_scan_skip_what_is_not_asked_for(spark, tmp_path):
+    names = [f"{w}{i:03}" for i in range(40) for w in ("Ana ", "ANA ", "Bia ", "ana ")]
+    lines = [("2026-01", name, 1, 2.0) for name in names for _ in range(50)] + [("2026-01", None, 1, 2.0)]
+    table = spark.createDataFrame(lines, "periodo_relatorio string, plataforma string, quantidade int, valor_liquido_moeda_conta double")
+    table.repartitionByRange(16, "plataforma").sortWithinPartitions("plataforma").write.parquet(f"{tmp_path}/t")
+    registry = Registry({"orchard_detail": lambda: Relation(spark.read.parquet(f"{tmp_path}/t"), ("t",))})
+
+    def ask(**more):
+        return metric_query(registry, "orchard_detail", ["quantity"], ["platform"], filters={"platform": "aNA 007"}, **more).frame
+
+    assert [tuple(r) for r in ask(find_spellings=True).collect()] == [tuple(r) for r in ask().collect()] == [("ANA 007", 50), ("Ana 007", 50), ("ana 007", 50)]
+    assert rows_scanned(ask()) == len(lines)
+    assert rows_scanned(ask(find_spellings=True)) < len(lines) / 4
+    none = metric_query(registry, "orchard_detail", ["quantity"], ["platform"], filters={"platform": "nobody"}, find_spellings=True).frame
+    assert none.collect() == []
+
+
+def test_too_many_spellings_are_not_listed(spark):
+    frame = spark.createDataFrame([("ana",), ("ANA",), ("Ana",), (None,), ("bia",)], "a string").withColumn("n", F.lit(1))
+    assert sorted(spellings(frame, "a", "aNa")) == ["ANA", "Ana", "ana"]
+    assert spellings(frame, "a", "aNa", most=2) is None and spellings(frame, "n", "1") is None
