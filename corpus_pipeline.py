@@ -90,10 +90,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written and read again as the next one's input."""
+    """All stages on ``documents``; what a stage returns is written and read again as the next one's input, which then goes."""
     stored = Stored(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = stored.keep(out) if i < len(STAGES) - 1 else out
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored.keep(stage(spark, docs, sf_dir))
+        if i:
+            stored.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
