@@ -4,17 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantiga.functions.money import plain_values
 from cantiga.session import path_exists, remove_folder
+from cantiga.sources.relation import join_to_sums
 
 #: Folder of the fingerprints, inside the dataset; readers skip names that begin like this.
 _MANIFEST = "_fingerprints"
 
 
+#: Bits of a clustering column's place in the order of its values.
+_ORDER_BITS = 8
+
+
+def z_order(frame: DataFrame, columns: Sequence[str], name: str = "__z") -> DataFrame:
+    """``frame`` with a number that rows near in all of ``columns`` share the high bits of; nulls come first in each.
+
+    A column's different values are dealt in ranges; the number of a value's
+    range is its place in the order.  The bits of all places are interleaved, so
+    that no column decides the order alone.
+    """
+    out, places = frame, []
+    for i, column in enumerate(columns):
+        place = f"__place{i}"
+        values = frame.select(F.col(column).alias("key_0")).where(F.col("key_0").isNotNull()).distinct()
+        ranges = values.repartitionByRange(1 << _ORDER_BITS, "key_0").select("key_0", F.spark_partition_id().alias(place))
+        out = join_to_sums(out, ranges, [column])
+        places.append(F.coalesce(place, F.lit(-1)) + 1)
+    # One bit more than the ranges take, for the nulls.
+    bits = [F.shiftleft(F.shiftright(p, bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(places) + i) for bit in range(_ORDER_BITS + 1) for i, p in enumerate(places)]
+    return out.withColumn(name, reduce(Column.bitwiseOR, bits)).drop(*[f"__place{i}" for i in range(len(columns))])
+
+
+def write_clustered_months(frame: DataFrame, path: str, cluster: Sequence[str], month: str = "periodo", others_stay: bool = True) -> None:
+    """``write_months`` with the rows of a month in Z-order of the ``cluster`` columns.
+
+    Rows near in all of them lie in the same files and row groups, so that a
+    filter on any one of them skips most.  A month too big for one task is cut
+    along the order.
+    """
+    ordered = z_order(frame, cluster)
+    (
+        ordered.repartitionByRange(month, "__z")
+        .sortWithinPartitions(month, "__z", *cluster)
+        .drop("__z")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if others_stay else "static")
+        .partitionBy(month)
+        .parquet(path)
+    )
+
+
 def write_months(frame: DataFrame, path: str, month: str = "periodo", others_stay: bool = True) -> None:
     """Parquet with one folder per month; months not in ``frame`` stay as they are, or go with all else at ``path``.
 

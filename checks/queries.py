@@ -191,6 +191,26 @@ def _(star):
     )
 
 
+@register(
+    "staged_months_clustered",
+    O.with_ctes(
+        """SELECT periodo, plataforma_origem, count(*) AS linhas, CAST(sum(valor_royalties) AS DOUBLE) AS royalties
+           FROM branches WHERE artista_raw BETWEEN 'Customer#000000100' AND 'Customer#000000120' GROUP BY ALL"""
+    ),
+)
+def _(star):
+    """Months in Z-order of artist and platform; the artists asked for lie in few row groups."""
+    columns = ["periodo", "artista_raw", "plataforma_origem", "valor_royalties"]
+    path = shared_folder(star.spark, "stg_clustered")
+    sinks.write_clustered_months(star.royalties.base.select(*columns), path, ["artista_raw", "plataforma_origem"])
+    staged = sinks.read_months(star.spark, path)
+    return (
+        staged.where(F.col("artista_raw").between("Customer#000000100", "Customer#000000120"))
+        .groupBy(F.col("periodo").cast("string").alias("periodo"), "plataforma_origem")
+        .agg(F.count("*").alias("linhas"), F.sum("valor_royalties").alias("royalties"))
+    )
+
+
 @register(
     "refreshed_by_fingerprint",
     O.with_ctes(

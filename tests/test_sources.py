@@ -131,6 +131,36 @@ def test_over_count_reads_its_table_once(spark, tmp_path):
     assert plan.count("FileScan") == 1
 
 
+def rows_scanned(frame):
+    """Rows that the scan of an executed plan without shuffles gave out."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    return plan.collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+
+
+def test_clustered_months_let_a_filter_on_either_column_skip_row_groups(spark, tmp_path):
+    n = 64_000
+    frame = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 97 == 0, None).otherwise(F.format_string("artist %03d", F.col("id") * 7919 % 500)).alias("artista"),
+        F.format_string("p%02d", F.col("id") * 104729 % 40).alias("plataforma"),
+        F.when(F.col("id") % 2 == 0, "2026-01").otherwise("2026-02").alias("periodo"),
+        F.col("id"),
+    )
+    plain, clustered = f"{tmp_path}/plain", f"{tmp_path}/clustered"
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "16384")
+    try:
+        sinks.write_months(frame, plain)
+        sinks.write_clustered_months(frame, clustered, ["artista", "plataforma"])
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    for where, share in (("artista = 'artist 123'", 0.25), ("plataforma = 'p07'", 0.25), ("artista = 'artist 123' AND plataforma = 'p07'", 0.05)):
+        rows = [sorted(r.id for r in sinks.read_months(spark, path).where(where).collect()) for path in (plain, clustered)]
+        assert rows[0] == rows[1]
+        assert rows_scanned(sinks.read_months(spark, clustered).where(where)) < share * n
+    assert sinks.read_months(spark, clustered).count() == n and sinks.read_months(spark, clustered).where("artista IS NULL").count() == len(range(0, n, 97))
+
+
 def files_of(path):
     return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet") if "_fingerprints" not in str(f)}
 
