@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cantiga.catalog import SOURCES
 from cantiga.functions.money import brazilian_number, plain_values
-from cantiga.functions.months import add_months_text
+from cantiga.functions.months import add_months_text, month_of
 from cantiga.functions.text import fold_text
 from cantiga.operators import ledger, matching, quality, statements
 from cantiga.operators.calendar import build_calendar, with_calendar
@@ -661,6 +661,26 @@ def _(star):
     return quality.over_count(star.status_rows, ["contrato"], STATUS_ORDER, "valor_liquido")
 
 
+def _from_states(star, measure, rows, first_months, name):
+    """The report from sums kept per month: some months first, then all, of which only the new ones are summed."""
+    path = shared_folder(star.spark, name)
+    for part in (rows.where(first_months), rows):
+        sinks.refresh_months(part, path, lambda found: measure.state(found, "periodo"))
+    return measure.of_states(sinks.read_months(star.spark, path))
+
+
+@register("match_coverage_from_states", ORACLE["match_coverage"])
+def _(star):
+    rows = star.royalties.base.select("periodo", "plataforma_origem", "chave_artista", "artista_raw")
+    return _from_states(star, quality.matching(star.royalties), rows, "periodo < '1997-01'", "states_match")
+
+
+@register("over_count_from_states", ORACLE["over_count_by_status"])
+def _(star):
+    rows = star.status_rows.select("contrato", "status", "valor_liquido", *STATUS_ORDER).withColumn("periodo", month_of(F.col("inserted_at")))
+    return _from_states(star, quality.over_counting(["contrato"], STATUS_ORDER, "valor_liquido"), rows, "periodo < '1997-01'", "states_over")
+
+
 _REPORT = {
     "cobertura_artista": ("match_coverage", ["plataforma_origem"]),
     "cobertura_canal": ("channel_coverage", []),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter
 from datetime import date
 from decimal import Decimal
@@ -213,3 +214,35 @@ def test_refresh_that_broke_off_is_done_again(spark, tmp_path):
     with pytest.raises(RuntimeError):
         sinks.refresh_months(frame, str(tmp_path / "mv"), broken)
     assert sinks.refresh_months(frame, str(tmp_path / "mv")).changed == ("m1",)
+
+
+def measures(spark):
+    """Each measure with rows for it."""
+    draw = random.Random(3)
+    some = lambda *values: draw.choice(values)
+    artists = spark.createDataFrame([("P", "a", 1), ("P", "b", 2), ("Q", "a", 3)], "plataforma_origem string, chave_artista string, matched_artista_id int")
+    names = left_lookup(["plataforma_origem", "chave_artista"], ["matched_artista_id"], lambda: artists)
+    fact = spark.createDataFrame([(some("P", "Q", None), some("a", "b", "c", None), some("x", "y", None)) for _ in range(200)], "plataforma_origem string, chave_artista string, artista_raw string")
+    yield quality.matching(Relation(fact, ("t",), (names,))), fact
+    channels = spark.createDataFrame([("p", "s", "Radio")], "k string, l string, canal string")
+    channel = left_lookup(["k", "l"], ["canal"], lambda: channels)
+    lines = spark.createDataFrame([(some("p", "q", None), some("s", "t")) for _ in range(100)], "k string, l string")
+    yield quality.key_matching(Relation(lines, ("t",), (channel,)), ["k", "l"], "canal"), lines
+    titles = spark.createDataFrame([(some("??", "?", "x?", None, ""),) for _ in range(50)], "titulo string")
+    yield quality.title_corruption(Relation(titles, ("t",)), "titulo", ["titulo"]), titles
+    yield quality.uniqueness({"k+l": ["k", "l"], "k": ["k"]}), lines
+    yield quality.filling(lines, "lines"), lines
+    status = spark.createDataFrame([(some("c1", "c2", "c3", None), i, some("A", "B", None), Decimal(draw.randint(-5, 9))) for i in range(60)], "k string, at int, status string, v decimal(18,4)")
+    yield quality.over_counting(["k"], ["at"], "v"), status
+
+
+@pytest.mark.parametrize("split", ["pmod(xxhash64(n), 3)", "n % 7", "0"])
+def test_sums_of_parts_add_up_to_the_report_of_all(spark, split, tmp_path):
+    for i, (measure, rows) in enumerate(measures(spark)):
+        kept = rows.withColumn("n", F.monotonically_increasing_id()).withColumn("periodo", F.expr(f"cast({split} as string)")).drop("n")
+        sinks.refresh_months(kept.where("periodo != '1'"), f"{tmp_path}/{i}", lambda part, m=measure: m.state(part, "periodo"))
+        done = sinks.refresh_months(kept, f"{tmp_path}/{i}", lambda part, m=measure: m.state(part, "periodo"))
+        # What is there already is not summed again.
+        assert done.changed == (() if split == "0" else ("1",))
+        states = sinks.read_months(spark, f"{tmp_path}/{i}")
+        assert Counter(measure.of_states(states).collect()) == Counter(measure.of(rows).collect()), i
