@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cantiga.catalog import Dimension, Metric, approved_source, check_keys
+from cantiga.catalog import Dimension, Metric, Source, approved_source, check_keys
 from cantiga.functions.months import days_between_months, months_between
 from cantiga.sources.registry import Registry
 from cantiga.sources.relation import Lookup, Relation
@@ -55,6 +55,43 @@ def spellings(frame: DataFrame, column: str, value: object, most: int = 256) ->
     return found if len(found) <= most else None
 
 
+def _asked_rows(
+    relation: Relation, spec: Source, conditions: Sequence[tuple[Dimension, object]], date_range: tuple[str | None, str | None] | None, find_spellings: bool = False
+) -> DataFrame:
+    """The base rows that the filters on its own columns and the range of months leave."""
+    frame = relation.base
+    for dimension, value in conditions:
+        if set(dimension.inputs) <= relation.base_columns:
+            # A dimension made from a date has no spellings.
+            found = spellings(relation.base, dimension.inputs[0], value) if find_spellings and dimension.day is None else None
+            frame = frame.where(_equal_ignoring_case(dimension, value) if found is None else F.col(dimension.inputs[0]).isin(found))
+    period = spec.dimensions.get("period")
+    if period is not None and date_range is not None:
+        for bound in _month_filter(relation, period, *date_range):
+            frame = frame.where(bound)
+    return frame
+
+
+def files_behind(
+    registry: Registry, source: str | None = None, date_range: tuple[str | None, str | None] | None = None, filters: Mapping[str, object] | None = None
+) -> DataFrame:
+    """The files that a query with these arguments takes rows from: fonte, tabela, arquivo, bytes (of the whole file), linhas.
+
+    Files that the scan skips, or whose rows the filters all refuse, are not
+    listed.  Filters on looked-up columns act after the scan and leave the list
+    as it is.  The source must be a table of files, not a frame made from some.
+    """
+    spec = approved_source(source)
+    relation = registry.relation(spec.name)
+    conditions = [(spec.dimensions[key], value) for key, value in dict(filters or {}).items() if key in spec.dimensions]
+    rows = _asked_rows(relation, spec, conditions, date_range)
+    return (
+        rows.groupBy(F.col("_metadata.file_path").alias("arquivo"), F.col("_metadata.file_size").alias("bytes"))
+        .agg(F.count("*").alias("linhas"))
+        .select(F.lit(spec.name).alias("fonte"), F.lit(relation.tables[0]).alias("tabela"), "arquivo", "bytes", "linhas")
+    )
+
+
 def _zero_for_counts(metric: Metric, total: Column) -> Column:
     return F.coalesce(total, F.lit(0)) if metric.counts_rows else total
 
@@ -97,17 +134,7 @@ def metric_query(
     def in_base(dimension: Dimension) -> bool:
         return set(dimension.inputs) <= relation.base_columns
 
-    frame = relation.base
-    for dimension, value in conditions:
-        if in_base(dimension):
-            # A dimension made from a date has no spellings.
-            found = spellings(relation.base, dimension.inputs[0], value) if find_spellings and dimension.day is None else None
-            frame = frame.where(_equal_ignoring_case(dimension, value) if found is None else F.col(dimension.inputs[0]).isin(found))
-    period = spec.dimensions.get("period")
-    if period is not None and date_range is not None:
-        for bound in _month_filter(relation, period, *date_range):
-            frame = frame.where(bound)
-
+    frame = _asked_rows(relation, spec, conditions, date_range, find_spellings)
     late_filters = [(d, v) for d, v in conditions if not in_base(d)]
     looked_up = [d for d in chosen if not in_base(d)]
     chain = relation.needed_lookups(

@@ -18,9 +18,11 @@ from cantiga.operators.unify import FACT_COLUMNS
 from cantiga.plans import bookings, digest, routing
 from cantiga.plans.ask import ask
 from cantiga.plans.catalogue import catalogue_usage
-from cantiga.plans.metrics import metric_query
+from cantiga.plans.metrics import files_behind, metric_query
 from cantiga.session import shared_folder, tune
 from cantiga.sources import contract, sinks
+from cantiga.sources.registry import Registry
+from cantiga.sources.relation import Relation
 from cantiga.sources.star import STATUS_ORDER, StarSchema
 from checks import oracle as O
 from checks.questions import AS_OF_QUESTIONS, question_log
@@ -191,6 +193,22 @@ def _(star):
     )
 
 
+@register(
+    "files_behind_a_range",
+    O.with_ctes(
+        """SELECT 'royalty_performance' AS fonte, periodo AS pasta, count(*) AS linhas
+           FROM branches WHERE periodo BETWEEN '1998-02' AND '1998-04' AND lower(plataforma_origem) = 'orchard' GROUP BY ALL"""
+    ),
+)
+def _(star):
+    """The files that a question about three months of one platform takes rows from, by month folder."""
+    path = shared_folder(star.spark, "fact_files")
+    sinks.write_months(star.royalties.base.select("periodo", "plataforma_origem", "valor_royalties"), path)
+    registry = Registry({"royalty_performance": lambda: Relation(sinks.read_months(star.spark, path), ("public.fato",))})
+    files = files_behind(registry, "royalty_performance", ("1998-02-10", "1998-04-20"), {"origem": "ORCHARD"})
+    return files.groupBy("fonte", F.regexp_extract("arquivo", "periodo=([^/]+)/", 1).alias("pasta")).agg(F.sum("linhas").alias("linhas"))
+
+
 @register(
     "staged_months_clustered",
     O.with_ctes(

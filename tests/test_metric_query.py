@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from cantiga.plans.metrics import metric_query, spellings
+from cantiga.plans.metrics import files_behind, metric_query, spellings
 from cantiga.sources.registry import Registry, gravadora_lookup, jdbc_options, parquet_reader, table_registry
 from cantiga.sources.relation import Relation
 
@@ -258,3 +258,14 @@ def test_too_many_spellings_are_not_listed(spark):
     frame = spark.createDataFrame([("ana",), ("ANA",), ("Ana",), (None,), ("bia",)], "a string").withColumn("n", F.lit(1))
     assert sorted(spellings(frame, "a", "aNa")) == ["ANA", "Ana", "ana"]
     assert spellings(frame, "a", "aNa", most=2) is None and spellings(frame, "n", "1") is None
+
+
+def test_files_behind_a_question(spark, tmp_path):
+    rows = [(f"2026-0{m}", p, m) for m in range(1, 5) for p in ("Orchard", "DSU")]
+    table = spark.createDataFrame(rows, "periodo string, plataforma_origem string, quantidade int")
+    table.repartition(1).write.partitionBy("periodo", "plataforma_origem").parquet(f"{tmp_path}/t")
+    registry = Registry({"royalty_performance": lambda: Relation(spark.read.parquet(f"{tmp_path}/t"), ("public.fato",))})
+    found = files_behind(registry, date_range=("2026-02-15", "2026-03-01"), filters={"origem": "orchard", "gravadora": "x"}).collect()
+    assert sorted(r.arquivo.split("/")[-3] for r in found) == ["periodo=2026-02", "periodo=2026-03"]
+    assert {(r.fonte, r.tabela, r.linhas) for r in found} == {("royalty_performance", "public.fato", 1)} and all(r.bytes > 0 for r in found)
+    assert files_behind(registry).count() == 8 and files_behind(registry, date_range=("2030-01-01", None)).count() == 0
