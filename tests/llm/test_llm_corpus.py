@@ -116,7 +116,7 @@ def test_neighbours_recall_over_several_cells(spark):
     x = (draw.standard_normal((12, 16))[draw.integers(0, 12, 3000)] + 0.5 * draw.standard_normal((3000, 16))).astype(np.float32)
     x[100:1100] = x[100]  # a third of the rows are one vector
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    index = neighbours.build_index(frame, neighbours.GraphSettings(k=30, leaf=256, trees=4, rounds=3))
+    index = neighbours.build_index(frame, neighbours.GraphSettings(k=30, leaf=256, trees=4))
     got = defaultdict(list)
     for r in neighbours.search(index, frame.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -131,33 +131,57 @@ def test_neighbours_recall_over_several_cells(spark):
     assert [v for v, _ in got[200]][:3] == [v for v, _ in nearest(np.arange(3000), exact, 200, 3)]
 
 
-def test_a_point_that_all_list_fills_no_task(spark, monkeypatch):
-    """4,000 almost equal points that all list the same four."""
-    s = neighbours.GraphSettings(k=4, leaf=128, steps=1)
-    n, stored = 4000, Stored(spark, "hubs")
+def hub_graph(spark, stored, s, n=4000):
+    """Almost equal points that all list the same few."""
     draw = np.random.default_rng(5)
     x = (1 + 1e-3 * draw.standard_normal((n, 8))).astype("<f4")
-    hubs = [0, 1, 2, 3, 4]
-    cell = lambda i: f"0_{i // s.leaf}_0"
-    points = stored.keep(spark.createDataFrame([(i, v.tobytes(), cell(i)) for i, v in enumerate(x)], "node long, vector binary, cell string"))
-    lists = [[h for h in hubs if h != i][: s.k] for i in range(n)]
-    graph = stored.keep(spark.createDataFrame([(cell(i), i, m, [float(x[i] @ x[j]) for j in m], 0) for i, m in enumerate(lists)], neighbours._GRAPH))
-    groups, fetch = [], neighbours._with_vectors
-
-    def counted(needs, *rest):
-        groups.append((needs.count(), needs.distinct().groupBy("cell").count().agg(F.max("count")).first()[0]))
-        return fetch(needs, *rest)
-
-    monkeypatch.setattr(neighbours, "_with_vectors", counted)
+    number = lambda i: ((i // s.leaf) << neighbours._PLACE_BITS) + i % s.leaf
+    points = stored.keep(spark.createDataFrame([(number(i) >> neighbours._PLACE_BITS, number(i), v.tobytes()) for i, v in enumerate(x)], "cell long, node long, vector binary"))
+    lists = [[h for h in range(5) if h != i][: s.k] for i in range(n)]
+    rows = [(number(i) >> neighbours._PLACE_BITS, number(i), list(map(number, m)), [float(x[i] @ x[j]) for j in m], [True] * len(m)) for i, m in enumerate(lists)]
+    return points, stored.keep(spark.createDataFrame(rows, neighbours._GRAPH)), {number(i): list(map(number, m)) for i, m in enumerate(lists)}
+
+
+def test_a_point_that_all_list_fills_no_task(spark):
+    s, stored = neighbours.GraphSettings(k=4, leaf=128), Stored(spark, "hubs")
+    points, graph, lists = hub_graph(spark, stored, s)
+    members = neighbours._members(graph, s.k, 0)
+    groups = members.select("at", F.explode(F.concat("new", "old")).alias("node")).distinct().groupBy("at").count()
+    assert groups.agg(F.max("count")).first()[0] <= 4 * s.leaf
+    # Every point that lists a hub is in one of its parts.
+    assert members.where("part IS NOT NULL").select(F.explode("new").alias("node")).distinct().count() == len(lists)
     new = {r.node: list(r.nodes) for r in neighbours._descend(stored, graph, points, "<f4", s).collect()}
-    assert set(new) == set(range(n)) and all(len(m) == s.k for m in new.values())
-    # Found by way of the parts: points that are nearer than the four.
-    assert sum(set(m) != set(lists[i]) for i, m in new.items()) > n / 2
-    assert groups[0][1] <= 4 * s.leaf
-    groups.clear()
-    index = neighbours.Index(stored, s, points, points, graph, "<f4")
-    assert neighbours._walk(index, points.where("node % 20 = 0").select("node")).select("node").distinct().count() == n / 20
-    assert max(rows for rows, _ in groups) <= n / 20 * s.beam * 8 * s.k
+    assert set(new) == set(lists) and all(len(m) == s.k for m in new.values())
+    # Found by way of the parts: points that are nearer than the first four.
+    assert sum(set(m) != set(lists[i]) for i, m in new.items()) > len(lists) / 2
+    # The parts are other ones in the next round.
+    again = neighbours._members(graph, s.k, 1).where("part IS NOT NULL").groupBy("at").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("new")))).alias("m"))
+    before = members.where("part IS NOT NULL").groupBy("at").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("new")))).alias("m"))
+    assert again.join(before, ["at", "m"]).count() == 0
+
+
+def test_what_is_not_new_is_not_compared_again(spark):
+    s, stored = neighbours.GraphSettings(k=4, leaf=128), Stored(spark, "flags")
+    _, graph, lists = hub_graph(spark, stored, s)
+    old = graph.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
+    assert neighbours._members(old, s.k, 0).count() == 0
+    # One new edge: only the lists of its two ends have anything to compare, and it is the only new member there.
+    first = F.col("node") == 7
+    one = old.withColumn("fresh", F.when(first, F.array(F.lit(True), *[F.lit(False)] * 3)).otherwise(F.col("fresh")))
+    found = neighbours._members(one, s.k, 0).collect()
+    assert len(found) == 2 and sorted(r.new[0] for r in found) == [0, 7] and all(len(r.new) == 1 for r in found)
+
+
+def test_neighbours_of_near_equal_vectors(spark):
+    """With the query's own settings: 6,000 points around a few centres, far closer to each other than to the rest."""
+    draw = np.random.default_rng(12)
+    x = (draw.standard_normal((6, 24))[draw.integers(0, 6, 6000)] + 0.01 * draw.standard_normal((6000, 24))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for r in neighbours.search(neighbours.build_index(frame), frame.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = [len(got[q] & {v for v, _ in nearest(np.arange(6000), x.astype(float), q, 20)}) for q in range(0, 6000, 20)]
+    assert np.mean(hits) / 20 >= 0.9
 
 
 def test_neighbours_of_odd_rows(spark):
