@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantiga.sources.relation import Lookup, join_to_sums, left_lookup
@@ -25,34 +25,28 @@ def array_keys(artists: DataFrame, column: str) -> DataFrame:
 GRAM = 4
 
 
-def name_pieces(names: DataFrame, lengths: Column) -> DataFrame:
-    """(nome, gram): a piece of ``GRAM`` characters at each place of each distinct name, each once.
-
-    ``lengths``: lengths below ``GRAM`` that keywords have, for which there are shorter pieces too.
-    """
-    size = F.col("__size")
-    places = F.sequence(F.lit(1), F.length("lower") - size + 1)
-    cut = F.transform(places, lambda at: F.substring("lower", at, size))
+def name_pieces(names: DataFrame) -> DataFrame:
+    """(nome, gram): the ``GRAM`` characters, or what is left, from each place of each distinct name on, each once."""
+    cut = F.transform(F.sequence(F.lit(1), F.length("lower")), lambda at: F.substring("lower", at, F.lit(GRAM)))
     lowered = names.select("nome").where(F.col("nome").isNotNull()).distinct().withColumn("lower", F.lower("nome"))
-    return (
-        lowered.withColumn("__size", F.explode(F.array_union(F.array(F.lit(GRAM)), lengths)))
-        .where(F.length("lower") >= size)
-        .select("nome", F.explode(F.array_distinct(cut)).alias("gram"))
-    )
+    return lowered.where(F.length("lower") > 0).select("nome", F.explode(F.array_distinct(cut)).alias("gram"))
 
 
 def anchored(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """(gram, word, best): each of the ``words`` by the one of its pieces that the fewest names have.
 
-    A keyword shorter than a piece is its own.  One with a piece that no name has is in no name.
+    A keyword shorter than a piece goes by every piece that begins with it.  One
+    with a piece that no name has is in no name.
     """
     size = F.least(F.length("word"), F.lit(GRAM))
     own = F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda at: F.substring("word", at, size))
-    grams = words.select("word", "best", F.explode(F.array_distinct(own)).alias("gram"))
-    counted = pieces.groupBy(F.col("gram").alias("key_0")).agg(F.count("*").alias("__names"))
-    rated = join_to_sums(grams, counted, ["gram"])
-    rarest = F.min(F.struct(F.coalesce("__names", F.lit(0)).alias("names"), "gram"))
-    return rated.groupBy("word").agg(rarest.alias("at"), F.first("best").alias("best")).where("at.names > 0").select("at.gram", "word", "best")
+    keys = words.select("word", "best", F.explode(F.array_distinct(own)).alias("__key"))
+    counted = pieces.groupBy("gram").agg(F.count("*").alias("__names"))
+    beginnings = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.substring("gram", F.lit(1), n))
+    found = join_to_sums(keys, counted.select("gram", "__names", F.explode(beginnings).alias("key_0")), ["__key"])
+    rarest = Window.partitionBy("word").orderBy(F.coalesce("__names", F.lit(0)), "gram")
+    rated = found.withColumn("__rank", F.row_number().over(rarest)).where((F.col("__rank") == 1) | (F.length("word") < GRAM))
+    return rated.where("__names > 0").select("gram", "word", "best")
 
 
 def _by_keyword(names: DataFrame, words: DataFrame) -> DataFrame:
@@ -61,16 +55,13 @@ def _by_keyword(names: DataFrame, words: DataFrame) -> DataFrame:
     A pattern join would compare every name with every keyword.  Instead a name
     meets only the keywords whose rarest piece it has, and is then searched for
     them.  Of a name there is a piece for each of its places, whatever lengths
-    keywords have; keywords that share a piece travel as one row, so that a
+    keywords have; keywords that share a piece travel in a few rows, so that a
     piece that most names have is a hot key on one side only, and is split.
     """
-    lengths = words.agg(F.collect_set(F.when(F.length("word") < GRAM, F.length("word")))).scalar()
-    pieces = name_pieces(names, lengths)
-    anchors = anchored(words, pieces)
-    # Keywords of one anchor are dealt into rows of a few hundred.
-    row = F.pmod(F.xxhash64("word"), F.lit(1 << 62)) % F.ceil(F.col("__n") / 256)
-    sizes = anchors.groupBy("gram").agg(F.count("*").alias("__n"))
-    dealt = anchors.join(sizes, "gram").groupBy(F.col("gram").alias("key_0"), row.alias("__row")).agg(F.collect_list(F.struct((-F.length("word")).alias("minus_n"), "best", "word")).alias("__words"))
+    pieces = name_pieces(names)
+    word = F.struct((-F.length("word")).alias("minus_n"), "best", "word")
+    # Keywords of one piece share a row where there are very many of them.
+    dealt = anchored(words, pieces).groupBy(F.col("gram").alias("key_0"), F.pmod(F.xxhash64("word"), F.lit(1024)).alias("__row")).agg(F.collect_list(word).alias("__words"))
     found = join_to_sums(pieces, dealt, ["gram"], "inner")
     held = F.filter("__words", lambda w: F.contains(F.lower("nome"), w["word"]))
     longest = F.array_min(F.transform(held, lambda w: F.struct(w["minus_n"].alias("minus_n"), w["best"].alias("best"))))

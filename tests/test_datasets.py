@@ -119,17 +119,15 @@ def test_keyword_match_equals_comparing_all_pairs(spark):
 
 
 def test_names_give_one_piece_for_each_place(spark):
-    """Whatever the lengths of the keywords; only those shorter than a piece add pieces of their own."""
-    names = spark.createDataFrame([("abcdefghij",), ("abcdefghij",), ("xyz",), (None,)], "nome string")
-    none = F.array().cast("array<int>")
-    assert name_pieces(names, none).count() == 7
-    assert name_pieces(names, F.array(F.lit(2))).count() == 7 + 9 + 2
+    """Whatever the lengths of the keywords."""
+    names = spark.createDataFrame([("abcdefghij",), ("abcdefghij",), ("xyz",), ("",), (None,)], "nome string")
+    assert name_pieces(names).count() == 10 + 3
 
 
 def test_keywords_are_anchored_by_their_rarest_piece(spark):
     names = spark.createDataFrame([(f"customer {i}",) for i in range(20)] + [("customer zeta",)], "nome string")
     words = spark.createDataFrame([("customer zeta", 1), ("customer", 2), ("tome", 3), ("zz", 4), ("quux customer", 5)], "word string, best int")
-    pieces = name_pieces(names, F.array(F.lit(2)))
+    pieces = name_pieces(names)
     found = {r.word: r.gram for r in anchored(words, pieces).collect()}
     # No name has a piece of the last two.
     assert set(found) == {"customer zeta", "customer", "tome"}
