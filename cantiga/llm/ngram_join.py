@@ -2,18 +2,17 @@
 
 Texts become sets of five-word shingles; texts of one set form one node.  A
 node's MinHash signature is cut into trees: in each, a node lies at the end of
-the path its values spell, and similar nodes share long paths.  Matched
-prefixes are shortened from the full path until two sets at the threshold
-meet in at least one tree with the target probability; that depth is where
-buckets end.  In a bucket, nodes are sorted along the tree, so that those with
-the longest common paths come together first, and nodes that are not joined
-yet are then compared across all of the shorter prefix.
+the path its values spell, and similar nodes share long paths.  Buckets are cut
+at one depth of all trees, the longest at which two sets at the threshold meet
+in at least one tree with the target probability.  That depth comes from the
+formula; it is not found by shortening prefixes step by step as they match.
 
 Comparisons in buckets estimate the similarity from whole signatures, with a
-margin; they only find which nodes *may* belong together.  Every pair of
-nodes in such a component is then verified exactly on its shingles, in blocks
-of bounded size, and counted without being written out.  No candidate is
-dropped: large buckets and components are split into pairs of blocks.
+margin of four standard errors; they only find which nodes *may* belong
+together, and a pair below the margin in every bucket is not looked at further.
+Every pair of nodes in such a component is then verified exactly on its
+shingles, in blocks of bounded size, and counted without being written out.
+Large buckets and components are split into pairs of blocks, without a cap.
 """
 
 from __future__ import annotations
