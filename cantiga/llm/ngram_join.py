@@ -2,17 +2,19 @@
 
 Texts become sets of five-word shingles; texts of one set form one node.  A
 node's MinHash signature is cut into trees: in each, a node lies at the end of
-the path its values spell, and similar nodes share long paths.  Buckets are cut
-at one depth of all trees, the longest at which two sets at the threshold meet
-in at least one tree with the target probability.  That depth comes from the
-formula; it is not found by shortening prefixes step by step as they match.
-
-Comparisons in buckets estimate the similarity from whole signatures, with a
-margin of four standard errors; they only find which nodes *may* belong
-together, and a pair below the margin in every bucket is not looked at further.
-Every pair of nodes in such a component is then verified exactly on its
-shingles, in blocks of bounded size, and counted without being written out.
-Large buckets and components are split into pairs of blocks, without a cap.
+the path its values spell, and similar nodes share long paths.  Nodes meet by
+full paths first.  The prefix they are asked to share is then shortened, until
+two sets at the threshold meet in at least one tree with the target probability.
+A prefix all of whose nodes are in one group by then needs no further look;
+below any other, the nodes lie sorted along the tree and are compared from the
+longest prefix two of them share upwards, those of one group left out.
+
+These comparisons estimate the similarity from whole signatures, with a margin
+of four standard errors; they only find which nodes *may* belong together, and
+a pair below the margin in every tree is not looked at further.  Every pair of
+nodes in such a group is then verified exactly on its shingles, in blocks of
+bounded size, and counted without being written out.  Large buckets and groups
+are split into pairs of blocks, without a cap.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ class ForestSettings:
     depth: int = 8
     #: Chance that two sets at the threshold meet in a bucket.
     recall: float = 0.999
+    #: Values by which a prefix is shortened at a time.
+    step: int = 4
     #: Rows of a block of a bucket, and of a component.
     bucket_block: int = 1024
     component_block: int = 512
@@ -56,6 +60,11 @@ class ForestSettings:
                 return depth
         return 1
 
+    @property
+    def prefixes(self) -> list[int]:
+        """Lengths of the prefixes at which nodes meet, from the full path to the one that gives the target recall."""
+        return [*range(self.depth, self.prefix, -self.step), self.prefix]
+
     @property
     def margin(self) -> float:
         """Share of equal values below which a pair at the threshold all but never falls: four standard errors."""
@@ -100,9 +109,13 @@ def permutations(n: int) -> np.ndarray:
     return np.stack([draw.integers(0, 1 << 32, n, dtype=np.uint64), draw.integers(0, 1 << 31, n, dtype=np.uint64) * 2 + 1]).astype(np.uint32)
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+
+
 def _sketches(documents: DataFrame, s: ForestSettings) -> DataFrame:
-    """doc_id, node (digest of the shingle set, null without words), buckets and signature of every document."""
-    prefix = s.prefix
+    """doc_id, digest (of the text), node (of the shingle set, null without words), buckets (by prefix and tree) and signature of every document."""
+    prefixes = s.prefixes
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         seeds = permutations(s.trees * s.depth)
@@ -110,7 +123,7 @@ def _sketches(documents: DataFrame, s: ForestSettings) -> DataFrame:
         for batch in batches:
             known: dict[str, int] = {}
             nodes, keys, short = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 codes = shingles(text.as_py(), s.words, known)
                 if not len(codes):
                     nodes.append(None)
@@ -118,17 +131,18 @@ def _sketches(documents: DataFrame, s: ForestSettings) -> DataFrame:
                     short.append(None)
                     continue
                 values = signature(codes, seeds).reshape(s.trees, s.depth)
-                key = tree
-                for i in range(prefix):
-                    key = _mix(key * _FACTOR + values[:, i])
+                spelt = [tree]
+                for i in range(s.depth):
+                    spelt.append(_mix(spelt[-1] * _FACTOR + values[:, i]))
                 nodes.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
-                keys.append(key.view(np.int64))
+                keys.append([spelt[length].view(np.int64) for length in prefixes])
                 short.append(values.astype(np.uint8).tobytes())
                 if len(known) > 1_000_000:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "node", "buckets", "signature"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.list_(pa.int64()))), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "buckets", "signature"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, node binary, buckets array<long>, signature binary")
+    return _texts(documents).mapInArrow(each, "doc_id long, digest long, node binary, buckets array<array<long>>, signature binary")
 
 
 class _Sets:
@@ -149,23 +163,34 @@ class _Sets:
         return x != y
 
 
-def _bucket_edges(values: np.ndarray, path: int, margin: float) -> list[tuple[int, int]]:
-    """Edges that join the rows of a bucket that may be similar: those next to each other along the tree first."""
+def _bucket_edges(values: np.ndarray, paths: np.ndarray, roots: list[bytes], shortest: int, margin: float) -> list[tuple[int, int]]:
+    """Edges between the groups of a bucket that may be similar, found from the full path upwards to the shortest prefix.
+
+    Two rows are compared once, at the longest prefix they share, unless they are in one group by then.
+    """
     n, least = len(values), margin * values.shape[1]
-    sets, edges = _Sets(n), []
-    order = np.lexsort(values.T[path : path + 8][::-1])
-    near = (values[order[1:]] == values[order[:-1]]).sum(axis=1) >= least
-    for k in np.flatnonzero(near):
-        if sets.join(int(order[k]), int(order[k + 1])):
-            edges.append((int(order[k]), int(order[k + 1])))
-    apart = n - len(edges)
-    for i in range(1, n):
-        if apart == 1:
-            break
-        for j in np.flatnonzero((values[:i] == values[i]).sum(axis=1) >= least):
-            if sets.join(i, int(j)):
-                edges.append((i, int(j)))
-                apart -= 1
+    number: dict[bytes, int] = {}
+    order = np.lexsort(paths.T[::-1])
+    group = np.array([number.setdefault(roots[i], len(number)) for i in order])
+    apart = len(number)
+    values, paths = values[order], paths[order]
+    shared = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(axis=1)
+    places = np.arange(n)
+    edges: list[tuple[int, int]] = []
+    deeper = places
+    for length in range(paths.shape[1], shortest - 1, -1):
+        # The first row that shares this much of the path with a row, and all between.
+        start = np.maximum.accumulate(np.where(np.concatenate([[False], shared >= length]), 0, places))
+        for i in np.flatnonzero(start < deeper):
+            if apart == 1:
+                return edges
+            others = start[i] + np.flatnonzero(group[start[i] : deeper[i]] != group[i])
+            for j in others[(values[others] == values[i]).sum(axis=1) >= least]:
+                if group[i] != group[j]:
+                    edges.append((int(order[i]), int(order[j])))
+                    group[group == group[j]] = group[i]
+                    apart -= 1
+        deeper = start
     return edges
 
 
@@ -179,22 +204,32 @@ def _blocked(rows: DataFrame, size: str, block: int, by: Column, name: list[str]
 
 
 def _may_be_similar(stored: Stored, nodes: DataFrame, s: ForestSettings) -> DataFrame:
-    keys = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    # Signatures join only the rows of buckets with company.
-    rows = stored.keep(keys.join(shared, "bucket"))
-    withs = rows.join(nodes.select("node", "signature"), "node")
-    dealt = _blocked(withs, "n", s.bucket_block, F.col("node"), ["bucket"])
-    width, path, margin = s.trees * s.depth, s.prefix, s.margin
-
-    def each(bucket: pa.Table) -> Iterable[pa.RecordBatch]:
-        names = bucket.column("node").to_pylist()
-        values = np.frombuffer(b"".join(bucket.column("signature").to_pylist()), np.uint8).reshape(-1, width)
-        edges = _bucket_edges(values, path, margin)
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in edges], pa.binary()), pa.array([names[j] for _, j in edges], pa.binary())], names=["a", "b"])
-
-    return stored.keep(grouped_pass(dealt.select("group", "node", "signature"), "group", each, "a binary, b binary").distinct())
+    """``node`` and ``root`` of every node: the least node of the group it may be similar to."""
+    width, margin = s.trees * s.depth, s.margin
+    members = nodes.select("node", F.col("node").alias("root"))
+    for level, length in enumerate(s.prefixes):
+        rooted = nodes.join(members, "node") if level else nodes.withColumn("root", F.col("node"))
+        placed = rooted.select("node", "root", F.posexplode(F.col("buckets")[level]).alias("tree", "bucket"))
+        # Prefixes that several groups share; written, so that a hot one is split in the join.
+        live = stored.keep(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket", "n"))
+        rows = stored.keep(placed.join(live, "bucket"))
+        withs = rows.join(nodes.select("node", "signature"), "node")
+        dealt = _blocked(withs, "n", s.bucket_block, F.col("node"), ["bucket"])
+
+        def each(bucket: pa.Table, shortest: int = length) -> Iterable[pa.RecordBatch]:
+            roots = bucket.column("root").to_pylist()
+            values = np.frombuffer(b"".join(bucket.column("signature").to_pylist()), np.uint8).reshape(-1, width)
+            path = bucket.column("tree")[0].as_py() * s.depth
+            edges = _bucket_edges(values, values[:, path : path + s.depth], roots, shortest, margin)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([roots[i] for i, _ in edges], pa.binary()), pa.array([roots[j] for _, j in edges], pa.binary())], names=["a", "b"])
+
+        edges = stored.keep(grouped_pass(dealt.select("group", "tree", "node", "root", "signature"), "group", each, "a binary, b binary").distinct())
+        joined = stored.keep(components(stored, edges).toDF("root", "least"))
+        before = members
+        members = stored.keep(before.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
+        stored.drop(live, rows, edges, joined, *([before] if level else []))
+    return members
 
 
 def _verify(sets: list[np.ndarray], weight: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -246,15 +281,24 @@ def similar_texts(documents: DataFrame, settings: ForestSettings = ForestSetting
     nodes = stored.keep(
         sketches.where(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_docs"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature"))
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"),
+            F.count("*").alias("n_docs"),
+            F.first("buckets").alias("buckets"),
+            F.first("signature").alias("signature"),
+        )
+        .select("node", F.col("least.doc_id").alias("set_id"), "least.digest", "n_docs", "buckets", "signature")
     )
-    maybe = _may_be_similar(stored, nodes, s)
-    members = stored.keep(components(stored, maybe))
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    of_component = members.join(sizes, "root").join(nodes.select("node", "set_id", "n_docs"), "node")
-    dealt = _blocked(of_component.withColumn("root", F.hex("root")), "n", s.component_block, F.col("node"), ["root"])
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fetched = dealt.join(texts, F.col("set_id").eqNullSafe(F.col("doc_id"))).select("group", "node", "n_docs", "first", "second", "text")
+    members = _may_be_similar(stored, nodes, s)
+    sizes = stored.keep(members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"))
+    of_group = members.join(sizes, "root").join(nodes.select("node", "set_id", "digest", "n_docs"), "node")
+    dealt = _blocked(of_group.withColumn("root", F.hex("root")), "n", s.component_block, F.col("node"), ["root"])
+    texts = _texts(documents).toDF("of_id", "of_digest", "text")
+    meant = F.col("set_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))
+    fetched = dealt.join(texts, meant).select("group", "node", "n_docs", "first", "second", "text")
+    if not sketches.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        # Whole rows are repeated: each set is sent once.
+        fetched = fetched.groupBy("group", "node").agg(*[F.first(c).alias(c) for c in ("n_docs", "first", "second", "text")])
     words, threshold = s.words, s.threshold
 
     def each(block: pa.Table) -> Iterable[pa.RecordBatch]:
@@ -263,7 +307,7 @@ def similar_texts(documents: DataFrame, settings: ForestSettings = ForestSetting
         wanted = block.column("node").to_pylist()
         for i, text in enumerate(block.column("text")):
             codes = shingles(text.as_py(), words, known)
-            # Several texts may have one id: the one meant has the digest asked for.
+            # Texts may agree in id and digest: the one meant has the shingles asked for.
             if wanted[i] not in seen and hashlib.blake2b(codes.tobytes(), digest_size=16).digest() == wanted[i]:
                 seen.add(wanted[i])
                 names.append(wanted[i])
@@ -286,7 +330,7 @@ def similar_texts(documents: DataFrame, settings: ForestSettings = ForestSetting
     verified = stored.keep(grouped_pass(fetched, "group", each, "a binary, b binary, sets long, docs long"))
     links = verified.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
     roots = stored.keep(components(stored, verified.where(F.col("b").isNotNull()).select("a", "b").distinct()))
-    of_root = roots.join(nodes.select("node", "set_id"), "node").groupBy("root").agg(F.min("set_id").alias("class_id"))
+    of_root = stored.keep(roots.join(nodes.select("node", "set_id"), "node").groupBy("root").agg(F.min("set_id").alias("class_id")))
     known = nodes.select("node", "set_id", "n_docs").join(roots.join(of_root, "root").select("node", "class_id"), "node", "left").join(links, "node", "left")
     per_node = known.select(
         "node", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("sets", F.lit(0)).alias("n_set_links")

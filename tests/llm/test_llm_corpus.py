@@ -87,6 +87,48 @@ def test_similar_texts_of_odd_rows(spark):
     assert ngram_join.similar_texts(frame.limit(0)).count() == 0
 
 
+def test_similar_texts_of_rows_without_an_id(spark):
+    texts = near_copies(40)
+    links, root = naive_links(texts)
+    sizes = Counter(root)
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    found = ngram_join.similar_texts(frame, ngram_join.ForestSettings(component_block=8)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == Counter((None, None, n) for n in links)
+    assert len(sizes) < len(texts)
+
+
+@pytest.mark.parametrize("step", [1, 3, 8])
+def test_similar_texts_do_not_depend_on_the_steps(spark, step):
+    texts = near_copies(60)
+    links, root = naive_links(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = ngram_join.similar_texts(frame, ngram_join.ForestSettings(step=step)).collect()
+    assert {r.doc_id: (r.n_links, r.class_id) for r in found} == dict(enumerate(zip(links, root)))
+
+
+def test_bucket_edges_join_what_a_search_of_all_pairs_joins():
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        base = draw.integers(0, 4, (6, 32), dtype=np.uint8)
+        values = base[draw.integers(0, 6, 40)]
+        values = np.where(draw.random(values.shape) < 0.15, draw.integers(0, 4, values.shape), values).astype(np.uint8)
+        values[:, 8:10] = 1
+        roots = [bytes([int(x)]) for x in draw.integers(0, 30, 40)]
+        edges = ngram_join._bucket_edges(values, values[:, 8:16], roots, 2, 0.7)
+
+        def groups(pairs):
+            sets = ngram_join._Sets(40)
+            for i in range(40):
+                sets.join(i, roots.index(roots[i]))
+            for i, j in pairs:
+                sets.join(i, j)
+            return [sets.root(i) for i in range(40)]
+
+        near = [(i, j) for i in range(40) for j in range(i) if (values[i] == values[j]).sum() >= 0.7 * 32]
+        assert groups(edges) == groups(near)
+        assert len(edges) == len(set(groups([]))) - len(set(groups(edges)))
+
+
 def test_prefix_is_the_longest_with_the_target_recall():
     s = ngram_join.ForestSettings()
     chance = lambda depth: 1 - (1 - s.threshold**depth) ** s.trees
