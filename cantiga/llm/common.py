@@ -107,8 +107,8 @@ def components(stored: Stored, edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every node of the edges (``a``, ``b``): the least node of its component.
 
     Large-star and small-star steps in turn: neighbours are hung below the least
-    node known, until nothing changes; the number of rounds grows with the
-    logarithm of a component's length.  Each step is a sum and a join on one
+    node known, until every component is a star; the number of rounds grows with
+    the logarithm of a component's length.  Each step is a sum and a join on one
     key, which adaptive execution splits where a node has very many edges.
     """
 
@@ -122,17 +122,15 @@ def components(stored: Stored, edges: DataFrame) -> DataFrame:
         below = hung.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return below.union(hung.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
-    def mark(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+    def all_stars(links: DataFrame) -> bool:
+        # No node hangs below two others, and none that others hang below hangs itself: the nodes above are the least.
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(links.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs + holds > 1").isEmpty()
 
     links = stored.keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = mark(links)
-    while before[0]:
+    while not all_stars(links):
         new = stored.keep(star(star(links, True), False))
         stored.drop(links)
-        links, now = new, mark(new)
-        if now == before:
-            break
-        before = now
+        links = new
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select("root", "root").distinct().toDF("node", "root"))

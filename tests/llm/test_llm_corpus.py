@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cantiga.llm import mixing, neighbours, ngram_join, packing
-from cantiga.llm.common import Stored
+from cantiga.llm.common import Stored, components
 from cantiga.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +106,25 @@ def test_similar_texts_do_not_depend_on_the_steps(spark, step):
     assert {r.doc_id: (r.n_links, r.class_id) for r in found} == dict(enumerate(zip(links, root)))
 
 
+def test_components_of_chains_hubs_cliques_and_random_links(spark):
+    draw = random.Random(4)
+    chain = [(i, i + 1) for i in range(60)]
+    hub = [(100, x) for x in range(101, 160)] + [(99, 160), (160, 159)]
+    clique = [(a, b) for a in range(200, 212) for b in range(200, a)]
+    mixed = [(draw.randrange(300, 400), draw.randrange(300, 400)) for _ in range(70)]
+    star = [(500, x) for x in range(501, 520)]
+    edges = [pair if draw.random() < 0.5 else pair[::-1] for pair in chain + hub + clique + mixed + star + star]
+    root = {x: x for pair in edges for x in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    stored = Stored(spark, "components")
+    found = components(stored, spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert len(found) == len(root) and {r.node: r.root for r in found} == root
+    assert components(stored, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_bucket_edges_join_what_a_search_of_all_pairs_joins():
     draw = np.random.default_rng(5)
     for _ in range(60):
