@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ _MANIFEST = "_fingerprints"
 #: Bits of a clustering column's place in the order of its values.
 _ORDER_BITS = 8
 
+#: Bits of each but the highest of the three parts that a hash is summed in.
+_HASH_BITS = 21
+
 
 def z_order(frame: DataFrame, columns: Sequence[str], name: str = "__z") -> DataFrame:
     """``frame`` with a number that rows near in all of ``columns`` share the high bits of; nulls come first in each.
@@ -93,12 +97,17 @@ def fingerprints(frame: DataFrame, month: str) -> DataFrame:
 
     Nulls have a hash of their own place, so that values do not pass for their neighbours.
     """
-    values = [F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in frame.columns]
+    values = [part for c in frame.columns for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    rows = frame.select(F.col(f"`{month}`").cast("string").alias("month"), *[F.xxhash64(F.lit(salt), *values).alias(f"h{salt}") for salt in (1, 2)])
 
-    def total(salt: int) -> Column:
-        return F.sum(F.xxhash64(F.lit(salt), *values).cast("decimal(38,0)"))
+    def total(name: str) -> Column:
+        """The exact sum: of the hash's low, middle and high bits apart as longs, which 2^42 rows cannot overflow, put together at the end."""
+        low = F.lit((1 << _HASH_BITS) - 1).cast("long")
+        parts = (F.shiftright(name, 2 * _HASH_BITS), F.shiftright(name, _HASH_BITS).bitwiseAND(low), F.col(name).bitwiseAND(low))
+        scaled = [F.sum(part).cast("decimal(20,0)") * F.lit(1 << (2 - i) * _HASH_BITS).cast("decimal(14,0)") for i, part in enumerate(parts)]
+        return reduce(add, scaled).cast("decimal(38,0)")
 
-    return frame.groupBy(F.col(month).cast("string").alias("month")).agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"))
+    return rows.groupBy("month").agg(F.count("*").alias("n"), *[total(name).alias(name) for name in ("h1", "h2")])
 
 
 def _month_folder(spark: SparkSession, path: str, month: str, value: str | None) -> str:

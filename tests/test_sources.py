@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from collections import Counter
 from datetime import date
 from decimal import Decimal
@@ -246,3 +247,38 @@ def test_sums_of_parts_add_up_to_the_report_of_all(spark, split, tmp_path):
         assert done.changed == (() if split == "0" else ("1",))
         states = sinks.read_months(spark, f"{tmp_path}/{i}")
         assert Counter(measure.of_states(states).collect()) == Counter(measure.of(rows).collect()), i
+
+
+def test_fingerprints_are_exact_sums_of_the_hashes_of_whole_rows(spark):
+    """They are the same as before, when the hashes were added up as decimals, so that the months kept stay."""
+    frame = spark.range(2000).select(
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 3).cast("string")).alias("periodo"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 11).alias("a"),
+        F.when(F.col("id") % 4 != 0, F.lit("x")).alias("b"),
+    )
+    got = sinks.fingerprints(frame, "periodo")
+    values = [F.struct(F.col(c).isNull(), F.col(c)) for c in frame.columns]
+    want = Counter()
+    sums = {}
+    for r in frame.select("periodo", *[F.xxhash64(F.lit(salt), *values).alias(f"h{salt}") for salt in (1, 2)]).collect():
+        want[r.periodo] += 1
+        one, two = sums.get(r.periodo, (0, 0))
+        sums[r.periodo] = one + r.h1, two + r.h2
+    assert dict(got.dtypes)["h1"] == dict(got.dtypes)["h2"] == "decimal(38,0)"
+    assert {r.month: (r.n, int(r.h1), int(r.h2)) for r in got.collect()} == {m: (n, *sums[m]) for m, n in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and not re.search(r"sum\(cast\([^()]* as decimal\(38,0\)", plan)
+
+
+def test_the_rows_of_match_coverage_from_states_are_made_once(spark, monkeypatch):
+    from checks import queries
+
+    asked, refresh = [], sinks.refresh_months
+
+    def seen(part, *rest):
+        asked.append(part._jdf.queryExecution().optimizedPlan().toString())
+        return refresh(part, *rest)
+
+    monkeypatch.setattr(sinks, "refresh_months", seen)
+    queries.QUERIES["match_coverage_from_states"](spark, "/root/testdata/sf0.001").collect()
+    assert len(asked) == 2 and not any("Join" in plan or "Window" in plan for plan in asked)
