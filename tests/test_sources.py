@@ -270,6 +270,21 @@ def test_fingerprints_are_exact_sums_of_the_hashes_of_whole_rows(spark):
     assert "named_struct" not in plan and not re.search(r"sum\(cast\([^()]* as decimal\(38,0\)", plan)
 
 
+def test_states_of_the_over_count_are_not_summed_again_before_the_report(spark):
+    """A contract's months meet in one shuffle, by the contract; the report adds them up."""
+    rows = [("1", "k", 1, "A", 2), ("1", "k", 2, "B", 3), ("2", "k", 5, "A", 4), ("2", "j", 1, None, 1), (None, None, 1, "B", 9), ("3", None, 1, "A", 7), ("2", "k", 5, "A", 4)]
+    frame = spark.createDataFrame(rows, "periodo string, k string, at int, status string, v int")
+    measure = quality.over_counting(["k"], ["at"], "v")
+    states = measure.state(frame, "periodo")
+    by_contract = measure.of_states(states)
+    assert Counter(by_contract.collect()) == Counter(measure.of(frame).collect())
+    assert Counter(by_contract.collect()) == Counter(measure.report(measure.merged(states)).collect())
+    kept = spark.createDataFrame(states.collect(), states.schema)
+    plan = measure.of_states(kept)._jdf.queryExecution().executedPlan().toString()
+    # By the contract for the window, and by the status for the report.
+    assert plan.count("Exchange hashpartitioning(") == 2
+
+
 def test_the_rows_of_match_coverage_from_states_are_made_once(spark, monkeypatch):
     from checks import queries
 
