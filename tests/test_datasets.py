@@ -241,3 +241,36 @@ def test_category_drift(spark):
     known = spark.createDataFrame([("t", "g", "c"), ("t", "g", "unused")], "tipo string, grupo string, categoria string")
     got = {(r.grupo, r.categoria): r.lancamentos for r in category_drift(entries, known).collect()}
     assert got == {("g", "new"): 2, (None, "c"): 1}
+
+
+def test_shows_put_only_their_own_contracts_in_order(spark, tmp_path):
+    from datetime import datetime
+
+    from cantiga.sources.star import StarSchema
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    day = datetime(1998, 5, 1)
+    table("region", [(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string")
+    table("nation", [(0, "N0", 0), (1, "N1", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    table("customer", [(1, "C1", 0, "M"), (2, "C2", 1, "M")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    # Order 10 is listed twice, 11 is of another region, 12 ends in another status, 13 has no lines.
+    orders = [(10, 1, day), (10, 1, day), (11, 2, day), (12, 1, day), (13, 1, day), (None, 1, day)]
+    table("orders", orders, "o_orderkey long, o_custkey long, o_orderdate timestamp")
+
+    def line(key, number, flag, month, price):
+        return (key, 1, 1, number, 1.0, price, 0.5, 0.0, flag, "O", None if month is None else datetime(1998, month, 1))
+
+    lines = [
+        line(10, 1, "R", 3, 100.0), line(10, 2, "N", 2, 200.0), line(10, 3, "A", None, 300.0), line(10, 1, "R", 3, 100.0),
+        line(11, 1, "R", 3, 400.0), line(12, 1, "R", 1, 500.0), line(12, 2, "A", 2, 600.0), line(None, 1, "R", 9, 700.0),
+    ]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    table("lineitem", lines, names)
+    shows = StarSchema(spark, str(tmp_path)).show_lines
+    got = [(r.periodo, r.artista_raw, r.quantidade, r.valor_royalties) for r in shows.collect()]
+    assert got == [("1998-05", "000001 - C1", 1, 50)] * 2
+    plan = shows._jdf.queryExecution().optimizedPlan().toString()
+    # The other contracts are left out below the window, not above it.
+    assert "Join LeftSemi" in plan.split("Window [row_number")[1].split("Relation")[0]

@@ -297,3 +297,60 @@ def test_the_rows_of_match_coverage_from_states_are_made_once(spark, monkeypatch
     monkeypatch.setattr(sinks, "refresh_months", seen)
     queries.QUERIES["match_coverage_from_states"](spark, "/root/testdata/sf0.001").collect()
     assert len(asked) == 2 and not any("Join" in plan or "Window" in plan for plan in asked)
+
+
+def test_a_lookup_by_what_another_found_joins_the_rows_once(spark):
+    from cantiga.operators.matching import artist_lookup
+    from cantiga.sources.registry import gravadora_lookup
+    from cantiga.sources.relation import fewest_joins
+
+    matches = spark.createDataFrame(
+        [("DSU", "a", 1, None, "A"), ("DSU", "b", 2, "kb", "B"), ("DSU", "c", 3, None, "C"), ("DSU", "n", None, None, "N"), ("DSU", "a", 1, None, "A")],
+        "plataforma_origem string, chave_artista string, matched_artista_id int, matched_artista_keyword string, artista_casado string",
+    )
+    artists = spark.createDataFrame([(1, "X"), (2, None), (3, "Y"), (3, "Z"), (None, "W")], "id int, gravadora string")
+    rows = [("DSU", "a", "ra", 1), ("DSU", "a", "ra", 1), ("DSU", "b", "rb", 2), ("DSU", "n", "rn", 3), ("DSU", None, None, 4), ("Orchard", "a", "ro", 5)]
+    frame = spark.createDataFrame(rows, "plataforma_origem string, chave_artista string, artista_raw string, n int")
+    chain = [artist_lookup(lambda: matches), gravadora_lookup(lambda: artists)]
+    (both,) = fewest_joins(chain)
+    assert both.provides == (*chain[0].provides, *chain[1].provides)
+    wide = both.attach(frame)
+    node, joins = wide._jdf.queryExecution().optimizedPlan(), 0
+    while not node.children().isEmpty():
+        joins, node = joins + (node.nodeName() == "Join"), node.children().head()
+    assert joins == 1
+    columns = ["n", "matched_artista_id", "matched_artista_keyword", "artista", "gravadora"]
+    expected = [(1, 1, None, "A", "X"), (1, 1, None, "A", "X"), (2, 2, "kb", "B", None), (3, None, None, "N", None), (4, None, None, None, None), (5, None, None, "ro", None)]
+    assert sorted(map(tuple, wide.select(*columns).collect()), key=lambda r: r[0]) == expected
+    one_by_one = chain[1].attach(chain[0].attach(frame))
+    assert wide.columns == one_by_one.columns and wide.exceptAll(one_by_one).isEmpty()
+    # Artist 3 is registered twice: no matter, until a row asks for it.
+    asked = frame.unionByName(spark.createDataFrame([("DSU", "c", "rc", 6)], frame.schema))
+    with pytest.raises(Exception, match="more than one gravadora for id 3"):
+        both.attach(asked).collect()
+
+
+def test_lookups_without_shared_keys_stay_apart(spark):
+    from cantiga.sources.relation import fewest_joins
+
+    table = spark.createDataFrame([("x", "y")], "a string, b string")
+    first = left_lookup(["a"], ["b"], lambda: table)
+    other = left_lookup(["c"], ["d"], lambda: table.toDF("c", "d"))
+    last = left_lookup(["d", "c"], ["e"], lambda: table.selectExpr("b AS d", "a AS c", "a AS e"))
+    assert [entry.provides for entry in fewest_joins([first, other, last])] == [("b",), ("d",), ("e",)]
+
+
+def test_rows_are_not_sorted_for_a_small_lookup(spark):
+    table = spark.range(400).selectExpr("id AS k", "id AS v")
+    frame = spark.range(20_000).selectExpr("id % 300 AS k", "id")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for key in before:
+            spark.conf.set(key, "-1")
+        wide = left_lookup(["k"], ["v"], lambda: table).attach(frame)
+        assert sorted(wide.collect()) == sorted((i % 300, i, i % 300) for i in range(20_000))
+        plan = wide._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
